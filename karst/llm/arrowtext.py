@@ -147,3 +147,62 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def chars_per_text(t: Texts, table: np.ndarray) -> np.ndarray:
     """Bytes of each text with a one in the table."""
     return per_text(table[t.buf].astype(np.int64), t.off)
+
+
+class HashTable:
+    """Distinct 64-bit keys to their order of arrival, looked up and filled a whole array at a time (linear probing)."""
+
+    def __init__(self, bits: int = 16):
+        self.order = np.zeros(1 << bits, np.uint64)
+        self.n = 0
+        self._make(bits)
+
+    def _make(self, bits: int) -> None:
+        self.mask = U((1 << bits) - 1)
+        self.keys, self.at = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        if self.n:
+            self._place(self.order[: self.n], np.arange(self.n, dtype=np.int32))
+
+    def _place(self, keys: np.ndarray, values: np.ndarray) -> None:
+        slot = keys & self.mask
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            won = free & (self.keys[slot] == keys)
+            self.at[slot[won]] = values[won]
+            keys, values, slot = keys[~won], values[~won], (slot[~won] + U(1)) & self.mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        out = np.full(len(keys), -1, np.int32)
+        slot = keys & self.mask
+        there = self.keys[slot]
+        hit = there == keys
+        out[hit] = self.at[slot[hit]]
+        left = np.flatnonzero(~hit & (there != 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + U(1)) & self.mask
+            there = self.keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self.at[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], slot[on]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """New distinct keys, none of which is there."""
+        n = self.n + len(keys)
+        while n > len(self.order):
+            self.order = np.concatenate([self.order, np.zeros_like(self.order)])
+        self.order[self.n : n] = keys
+        if 2 * n > len(self.keys):
+            self.n = n
+            self._make(max(int(2 * n).bit_length(), int(self.mask).bit_length()) + 1)
+        else:
+            self._place(keys, np.arange(self.n, n, dtype=np.int32))
+            self.n = n
+
+    def keep_first(self, n: int) -> None:
+        self.n = n
+        self._make(int(self.mask).bit_length())

@@ -14,6 +14,7 @@ Edge cases: null or empty text is one end id; null doc_id sorts first; rows that
 from __future__ import annotations
 
 import contextlib
+import itertools
 import os
 import shutil
 import tempfile
@@ -26,21 +27,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karst.llm.arrowtext import HashTable, Texts, per_text
 from karst.sources.shared import cut, local_path, new_path, spread
 
 END = 0
 NULL_ID = -(2**63)
 _CACHE: dict = {}
-_CACHE_MOST = 400_000  # pieces kept by a worker; beyond it the cache starts anew
+_CACHE_MOST = 3_000_000  # words kept by a worker, about 40 bytes each
 ROWS = pa.schema([("shard", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64())])
 
 
 class Encoder:
-    """Whole texts to ids by the tokenizers library.
+    """Whole texts to ids by the tokenizers library, with a store of the ids of words seen before.
 
-    A space before a character that is no white space always starts a new piece of a byte-level vocabulary, so a text's ids
-    are the ids of its parts between such spaces. Parts recur: each distinct one is encoded once by the library and kept.
-    Texts with other runs of white space after a space go to the library whole.
+    In a byte-level vocabulary, a single space before a word starts a new piece and so does a run of line feeds; a text's ids
+    are then those of its words, each with the space before it, and of those runs. Distinct ones are known by a 64-bit hash
+    and encoded once. Letters alone are one piece and go to the library's merges at once, other words to its full encoder.
+    Texts with other white space between words, and all texts of other kinds of vocabularies, go to the library whole.
+    When the store is full its newer half goes: frequent words come early.
     """
 
     def __init__(self, path: str):
@@ -49,75 +53,110 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.model = self.tok.model
         self.vocab = self.tok.get_vocab_size()
         self.kind = np.uint16 if self.vocab <= 1 << 16 else np.uint32
-        self.byte_level = '"ByteLevel"' in self.tok.to_str()[:20000] and '"normalizer":null' in self.tok.to_str()[:20000].replace(" ", "")
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, self.kind)
-        self.start = np.zeros(1 << 17, np.int64)
-        self.used = 0
-
-    def _learn(self, parts: list[str]) -> None:
-        for a in range(0, len(parts), 20000):
-            some = parts[a : a + 20000]
-            got = [e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), self.kind, int(sizes.sum()))
-            n, need = len(self.index), self.used + len(flat)
-            while need > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while n + len(some) + 1 > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.ids[self.used : need] = flat
-            self.start[n + 1 : n + 1 + len(some)] = self.used + np.cumsum(sizes)
-            self.used = need
-            for i, p in enumerate(some):
-                self.index[p] = n + i
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts with the end id after each, and n + 1 offsets."""
-        if len(self.index) > _CACHE_MOST:
-            self._reset()
-        whole: dict[int, np.ndarray] = {}
-        flat: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            parts = t.split(" ")
-            if not self.byte_level or "" in parts[1:] or any(p[0].isspace() for p in parts[1:]):
-                whole[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, self.kind)
+        pre = str(self.tok.pre_tokenizer)
+        self.byte_level = pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre and self.tok.normalizer is None
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.byte_to_char = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.table = HashTable(20)
+        self.ids = np.zeros(1 << 21, self.kind)
+        self.start = np.zeros(1 << 19, np.int64)
+
+    def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
+        got: list = [None] * len(parts)
+        rest = []
+        for i, p in enumerate(parts):
+            if len(p) > 1 and not p.strip("\n"):  # line feeds before a word: all but the last are one piece
+                got[i] = [k for x in (p[:-1], "\n") for k in self.tok.encode(x, add_special_tokens=False).ids]
                 continue
-            if parts[0]:
-                flat.append(parts[0])
-                counts[i] += 1
-            flat += [" " + p for p in parts[1:]]
-            counts[i] += len(parts) - 1
-        index = self.index
-        if missing := [p for p in dict.fromkeys(flat) if p not in index]:
-            self._learn(missing)
-        at = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-        start, size = self.start[at], self.start[at + 1] - self.start[at]
-        bound = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.arange(bound[-1]) + np.repeat(start - bound[:-1], size)]
-        part_to = np.concatenate([[0], np.cumsum(counts)])
+            if p.isalpha() or (p[0] == " " and p[1:].isalpha()):
+                if p < "\u0250" and max(p) < "\u0250":
+                    got[i] = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.byte_to_char))]
+                    continue
+            rest.append(i)
+        for i, e in zip(rest, self.tok.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False), strict=True):
+            got[i] = e.ids
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        n = self.table.n
+        used = int(self.start[n])
+        need = used + int(sizes.sum())
+        while need > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(parts) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.ids[used:need] = np.fromiter(itertools.chain.from_iterable(got), self.kind, need - used)
+        self.start[n + 1 : n + 1 + len(parts)] = used + np.cumsum(sizes)
+        self.table.add(keys)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts with the end id after each, and n + 1 offsets."""
+        if self.table.n > _CACHE_MOST:
+            self.table.keep_first(_CACHE_MOST // 2)
+        t = Texts(column)
+        t.split()
+        slow = np.zeros(t.n, bool) if self.byte_level else np.ones(t.n, bool)
+        first = np.zeros(len(t.ws), bool)
+        first[t.wc[:-1][t.nw > 0]] = True
+        gap = np.concatenate([[0], t.we[:-1]]) if len(t.we) else t.ws
+        gap = np.where(first, t.off[:-1][t.wd], gap)
+        size = t.ws - gap
+        lines = np.concatenate([[0], np.cumsum(t.buf == 10)])
+        space = (size == 1) & (t.buf[t.ws - 1] == 32)
+        fed = (size > 0) & (lines[t.ws] - lines[gap] == size)
+        slow[t.wd[~(space | fed | (size == 0))]] = True
+        last = np.where(t.nw > 0, t.we[np.maximum(t.wc[1:] - 1, 0)] if len(t.we) else 0, t.off[:-1])
+        tail = t.end - last
+        tail_fed = (tail == 1) & (t.buf[np.minimum(last, len(t.buf) - 1)] == 10) & (t.nw > 0) if t.n else tail > 0
+        slow |= (tail > 0) & ~tail_fed
+        slow[self._wide_spaces(t)] = True
+
+        where = np.concatenate([t.wc[1:][tail_fed], np.flatnonzero(fed)])
+        lo = np.insert(t.ws - space, where, np.concatenate([last[tail_fed], gap[fed]]))
+        hi = np.insert(t.we, where, np.concatenate([t.end[tail_fed], t.ws[fed]]))
+        units = t.nw + tail_fed + per_text(fed.astype(np.int64), t.wc)
+        part_to = np.concatenate([[0], np.cumsum(units)])
+        keys = t.hashes(lo, hi)
+        at = self.table.find(keys)
+        if len(new := np.flatnonzero((at < 0) & ~np.repeat(slow, units))):
+            some, i = np.unique(keys[new], return_index=True)
+            i = np.sort(new[i])
+            data = t.buf.tobytes()
+            self._learn(keys[i], [data[a:z].decode() for a, z in zip(lo[i].tolist(), hi[i].tolist(), strict=True)])
+            at = self.table.find(keys)
+        at = np.maximum(at, 0)
+        start, count = self.start[at], self.start[at + 1] - self.start[at]
+        if slow.any():
+            count[np.repeat(slow, units)] = 0
+        bound = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[np.arange(bound[-1]) + np.repeat(start - bound[:-1], count)]
         n_ids = bound[part_to[1:]] - bound[part_to[:-1]]
-        for i, x in whole.items():
+        whole = np.flatnonzero(slow & (t.end > t.off[:-1]))
+        texts = {i: np.array(self.tok.encode(column[i].as_py(), add_special_tokens=False).ids, self.kind) for i in whole.tolist()}
+        for i, x in texts.items():
             n_ids[i] = len(x)
         off = np.concatenate([[0], np.cumsum(n_ids + 1)])
         out = np.full(off[-1], END, self.kind)
-        if not whole:
-            keep = np.ones(len(out), bool)
-            keep[off[1:] - 1] = False
-            out[keep] = ids
-        else:
-            for i in range(len(texts)):
-                out[off[i] : off[i + 1] - 1] = whole[i] if i in whole else ids[bound[part_to[i]] : bound[part_to[i + 1]]]
+        keep = np.ones(len(out), bool)
+        keep[off[1:] - 1] = False
+        for i, x in texts.items():
+            keep[off[i] : off[i + 1]] = False
+            out[off[i] : off[i + 1] - 1] = x
+        out[keep] = ids
         return out, off
 
+    @staticmethod
+    def _wide_spaces(t: Texts) -> np.ndarray:
+        """Texts with white space beyond ASCII, or with the control characters that libraries judge differently."""
+        b = t.buf
+        i = np.flatnonzero(((b >= 0xE1) & (b <= 0xE3)) | (b == 0xC2) | ((b >= 0x1C) & (b <= 0x1F)))
+        if not len(i):
+            return i
+        x, y, z = b[i], b[np.minimum(i + 1, len(b) - 1)], b[np.minimum(i + 2, len(b) - 1)]
+        bad = (x < 0x20) | ((x == 0xC2) & ((y == 0x85) | (y == 0xA0))) | ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE2) & ((y == 0x80) | (y == 0x81))) | ((x == 0xE3) & (y == 0x80))
+        return np.unique(np.searchsorted(t.off, i[bad], side="right") - 1)
+
 
 def encoder(path: str) -> Encoder:
     if path not in _CACHE:
@@ -191,7 +230,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, order: list | Non
                     hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + step, side="right")))
                     part = b.slice(lo, hi - lo)
                     lo = hi
-                    out, off = enc.encode(part.column("text").to_pylist())
+                    out, off = enc.encode(part.column("text"))
                     tokens.write(out.astype(out.dtype.newbyteorder("<"), copy=False).tobytes())
                     offsets.write((off[1:] + at).astype("<u8").tobytes())
                     doc = part.column("doc_id")
