@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from karst.sources.shared import read_table
 
 
+def op1_quality_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from karst.llm.quality_svm import score_quality
+
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -17,6 +23,19 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from karst.llm.superminhash import near_groups
+
+    return near_groups(read_table(spark, sf_dir, "documents"), percent=85)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from karst.llm.quality_rules import quality_rules
+
+    out = quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from karst.llm.decontam import find_hits, find_spans, words
     from karst.sources.shared import spread, text_hash
@@ -44,7 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES: dict[str, str] = {}
 
-QUERIES = [op2_token_files, op8_decontaminate, op9_mix, op10_warc]
+QUERIES = [op1_quality_svm, op2_token_files, op4_superminhash, op7_quality_rules, op8_decontaminate, op9_mix, op10_warc]
 
 
 def queries() -> dict:
