@@ -2,8 +2,8 @@
 
 Benchmark items become normalised word windows (13 words; a shorter item is one window of its own length). Training texts are
 scanned window by window; the windows' 64-bit hashes meet the benchmark's in a hash join, and each meeting is verified word
-for word in the join condition. The benchmark side is broadcast only if Spark's own size estimate after it was materialised
-is below the session's broadcast threshold, else both sides are shuffled by the hash. Hits of a text are merged to spans.
+for word in the join condition. The benchmark side is written first and broadcast only if its measured bytes are at most
+BROADCAST_BYTES; a larger benchmark is joined by a shuffle on the hash. Hits of a text are merged to spans.
 
 Edge cases: null texts have no words; items without words have no windows; repeated items share windows and are all named;
 rows that repeat a doc_id with the same text are each judged.
@@ -21,6 +21,9 @@ UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+BROADCAST_BYTES = 32 << 20
+
+
 def words(text: str = "text") -> F.Column:
     """Normalised words. lower() is right for ASCII texts and cheap; others get only A-Z lowered."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -46,6 +49,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFr
         own = _windows(items.where(F.col("size") == k), ["item_id"], k)
         same = [f"w{j}" for j in range(k)]
         own = cut(own.groupBy("h", *same).agg(F.collect_set("item_id").alias("items")), "bench-windows")
+        size = own.agg(F.sum(sum((F.octet_length(w) for w in same), F.lit(64 + 24 * k)) + 8 * F.size("items"))).first()[0]
+        if (size or 0) <= BROADCAST_BYTES:
+            own = F.broadcast(own)
         a, b = _windows(rows, ["doc_id", "th"], k).alias("a"), own.alias("b")
         on = F.col("a.h") == F.col("b.h")
         for w in same:
