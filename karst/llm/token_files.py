@@ -27,13 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.arrowtext import HashTable, Texts, per_text
+from karst.llm.arrowtext import HashTable, Texts, per_text, release
 from karst.sources.shared import cut, local_path, new_path, spread
 
 END = 0
 NULL_ID = -(2**63)
 _CACHE: dict = {}
-_CACHE_MOST = 3_000_000  # words kept by a worker, about 40 bytes each
+_CACHE_MOST = 1_000_000  # words kept by a worker, about 40 bytes each
 ROWS = pa.schema([("shard", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -204,7 +204,7 @@ def mapped(folder: str, name: str, kind):
         shutil.rmtree(temp, ignore_errors=True)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, order: list | None = None, step: int = 4 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, order: list | None = None, step: int = 1 << 20) -> DataFrame:
     """Write the files; returns one row per document: shard, row, doc_id, local offset, n_tokens. Runs now, once.
 
     order: columns that say the order of documents (doc_id, nulls first). Shards are ranges of it."""
@@ -238,6 +238,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, order: list | Non
                     k = part.num_rows
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(k, shard, np.int32)), pa.array(np.arange(row, row + k)), doc.cast(pa.int64()), pa.array(off[:-1] + at), pa.array(np.diff(off))], schema=ROWS)
                     at, row = at + int(off[-1]), row + k
+        release()
 
     return cut(rows.mapInArrow(write, "shard int, row long, doc_id long, local long, n_tokens long"), "token-rows")
 
