@@ -6,6 +6,8 @@ contents have equal hashes on every machine; where two texts must be told apart
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ WORD = 1 - _SPACE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-SLICE = 2 << 20  # bytes of text handled at once; a longer text makes a slice of its own
+SLICE = 1 << 20  # bytes of text handled at once; a longer text makes a slice of its own
 
 _pow = np.ones(1, np.uint64)
 _ipow = np.ones(1, np.uint64)
@@ -66,6 +68,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(total, done + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Give freed memory back at the end of a partition: a worker waits idle for its next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Texts:
