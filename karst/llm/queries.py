@@ -23,6 +23,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_lbl_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from karst.llm.lbl_lm import score
+
+    return score(read_table(spark, sf_dir, "documents"))
+
+
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from karst.llm.superminhash import near_groups
 
@@ -63,7 +69,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES: dict[str, str] = {}
 
-QUERIES = [op1_quality_svm, op2_token_files, op4_superminhash, op7_quality_rules, op8_decontaminate, op9_mix, op10_warc]
+QUERIES = [op1_quality_svm, op2_token_files, op3_lbl_lm, op4_superminhash, op7_quality_rules, op8_decontaminate, op9_mix, op10_warc]
 
 
 def queries() -> dict:
