@@ -35,6 +35,18 @@ def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from karst.llm.suffix_dedup import dedup_substrings
+
+    return dedup_substrings(read_table(spark, sf_dir, "documents"))
+
+
+def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from karst.llm.recompression import dedup_windows
+
+    return dedup_windows(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from karst.llm.quality_rules import quality_rules
 
@@ -69,7 +81,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES: dict[str, str] = {}
 
-QUERIES = [op1_quality_svm, op2_token_files, op3_lbl_lm, op4_superminhash, op7_quality_rules, op8_decontaminate, op9_mix, op10_warc]
+QUERIES = [op1_quality_svm, op2_token_files, op3_lbl_lm, op4_superminhash, op5_suffix_dedup, op6_recompression, op7_quality_rules, op8_decontaminate, op9_mix, op10_warc]
 
 
 def queries() -> dict:
