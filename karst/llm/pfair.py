@@ -67,8 +67,8 @@ def target_weights(docs: DataFrame, power: float = 0.5) -> dict:
     return {r.source: max(r.b, 1) ** power for r in rows}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_BYTES, period: int = 1000, carry: list[str] = ()) -> DataFrame:
-    """doc_id, source, n_bytes, block, release, deadline, slot, at, in_balance, and the carried columns, for every row.
+def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_BYTES, period: int = 1000) -> DataFrame:
+    """doc_id, source, n_bytes, block, release, deadline, slot, at, in_balance and th (the text's hash) for every row.
 
     slot: the block's place in the output; at: the bytes of its source before the document, its order inside a slot.
     in_balance: no source had run out before this slot, so every prefix up to here deviates by less than one block."""
@@ -76,12 +76,12 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_B
     docs = spread(docs)
     weights = weights or target_weights(docs)
     if not weights:
-        return docs.select("doc_id", "source", F.lit(0).cast("long").alias("n_bytes"), *[F.lit(0).cast("long").alias(c) for c in ("block", "release", "deadline", "slot", "at")], F.lit(True).alias("in_balance"), *carry)
+        return docs.select("doc_id", "source", F.lit(0).cast("long").alias("n_bytes"), *[F.lit(0).cast("long").alias(c) for c in ("block", "release", "deadline", "slot", "at")], F.lit(True).alias("in_balance"), text_hash().alias("th"))
     shares = quantise(weights, max(period, 16 * len(weights)))
     d = sum(shares.values())
     plan = spark.createDataFrame([(s, shares[s], j, r, z, t) for s, j, r, z, t in one_period(shares)], "_s string, share long, j long, r long, z long, t long")
 
-    rows = docs.select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), text_hash().alias("_th"), *carry)
+    rows = docs.select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), text_hash().alias("_th"))
     rows = rows.withColumn("_h", F.xxhash64("doc_id", "_th"))
     n = docs.count()
     buckets = max(1, n // BUCKET_ROWS)
@@ -105,4 +105,14 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_B
     ends = bases.groupBy("_s").agg(F.ceil(F.max("_to") / block_bytes).cast("long").alias("blocks")).collect()  # one row a source
     offset = {(s, j): t for s, j, _, _, t in one_period(shares)}
     horizon = min(((e.blocks // shares[e._s]) * d + offset[e._s, e.blocks % shares[e._s]] for e in ends if e._s in shares), default=0)
-    return rows.select("doc_id", "source", "n_bytes", "block", (F.col("r") + shift).alias("release"), (F.col("z") + shift).alias("deadline"), (F.col("t") + shift).alias("slot"), "at", (F.col("t") + shift < horizon).alias("in_balance"), *carry)
+    return rows.select("doc_id", "source", "n_bytes", "block", (F.col("r") + shift).alias("release"), (F.col("z") + shift).alias("deadline"), (F.col("t") + shift).alias("slot"), "at", (F.col("t") + shift < horizon).alias("in_balance"), F.col("_th").alias("th"))
+
+
+def in_order(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All rows and columns of docs, range-partitioned and sorted by the schedule, so that files written from it hold the mix."""
+    d = docs.withColumn("_th", text_hash())
+    key = mix(docs, weights, block_bytes).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("slot").alias("_slot"), F.col("at").alias("_at")).dropDuplicates(["_d", "_t"])
+    out = d.join(key, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
+    n = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+    order = ["_slot", "_at", "doc_id", "_th"]
+    return out.repartitionByRange(n, *order).sortWithinPartitions(*order).select(docs.columns)

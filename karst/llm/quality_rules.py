@@ -137,6 +137,16 @@ def fit(column: pa.Array, y: np.ndarray, bits: int = BITS, epochs: int = 30) ->
     return {"bits": bits, "w": w.astype(np.float32).reshape(4, -1), "b": float(b), "a": a, "c": k}
 
 
+def verdicts(column: pa.Array, m: dict | None, threshold: float) -> tuple:
+    """Counts, base_failed, score and kept of each text."""
+    t = Texts(column)
+    t.split()
+    c = counts(t)
+    failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+    p = np.ones(t.n) if m is None else sigmoid(m["a"] * score_texts(t, m) + m["c"])
+    return c, failed, p, ~failed & (p >= threshold)
+
+
 def judge(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD, columns: list[str] = ()) -> DataFrame:
     """The counts, base_failed, score and kept of every row; other columns that are asked for are carried along."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB whatever the data's size
@@ -145,12 +155,8 @@ def judge(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD, col
     def run(batches):
         m = shared.value
         for s in slices(batches, "_text", SLICE // 2):
-            t = Texts(s.column("_text"))
-            t.split()
-            c = counts(t)
-            failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
-            p = np.ones(t.n) if m is None else sigmoid(m["a"] * score_texts(t, m) + m["c"])
-            own = [pa.array(c[k].astype(np.int64)) for k in names] + [pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
+            c, failed, p, kept = verdicts(s.column("_text"), m, threshold)
+            own = [pa.array(c[k].astype(np.int64)) for k in names] + [pa.array(failed), pa.array(p), pa.array(kept)]
             yield pa.RecordBatch.from_arrays([s.column(x) for x in columns] + own, [*columns, *names, "base_failed", "score", "kept"])
 
     rows = docs.select(*columns, F.col("text").alias("_text"))
@@ -160,5 +166,17 @@ def judge(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD, col
     return rows.mapInArrow(run, StructType(out))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are kept, with all their columns whatever their names."""
+    docs = spread(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(*labelled(docs, labels, FIT_ROWS, FIT_BYTES)))
+
+    def run(batches):
+        for s in slices(batches, "text", SLICE // 2):
+            yield s.filter(pa.array(verdicts(s.column("text"), shared.value, threshold)[3]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, columns: list[str] = ("doc_id",)) -> DataFrame:
     return judge(spread(docs), fit(*labelled(docs, labels, FIT_ROWS, FIT_BYTES)), threshold, list(columns))

@@ -32,7 +32,7 @@ def op3_lbl_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from karst.llm.superminhash import near_groups
 
-    return near_groups(read_table(spark, sf_dir, "documents"), percent=85)
+    return near_groups(read_table(spark, sf_dir, "documents"), percent=85).drop("th")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from karst.llm.pfair import mix
 
-    return mix(read_table(spark, sf_dir, "documents"))
+    return mix(read_table(spark, sf_dir, "documents")).drop("th")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from karst.llm.arrowtext import COEF, SLICE, Texts, U, batch, gram_hashes, mix, slices
 from karst.operators.components import connected_components
-from karst.sources.shared import cut, drop_cut, free_shuffles, spread
+from karst.sources.shared import cut, drop_cut, free_shuffles, spread, text_hash
 
 SHINGLE = 5
 PERCENT = 80
@@ -97,8 +97,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, u (the set's 64-bit name, null if empty), sig."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("u", pa.int64()), ("sig", pa.binary())])
+    """doc_id, th (the text's hash), n_shingles, u (the set's 64-bit name, null if empty), sig."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("u", pa.int64()), ("sig", pa.binary())])
 
     def run(batches):
         for s in slices(batches, most=SLICE // 2):
@@ -107,9 +107,9 @@ def sketch(docs: DataFrame) -> DataFrame:
             sig = signatures(g, bound)
             names, empty = unit_names(g, bound), size == 0
             blob = pa.Array.from_buffers(pa.binary(PLACES * 4), len(sig), [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary()) if len(sig) else pa.array([], pa.binary())
-            yield batch(schema, s.column("doc_id").cast(pa.int64()), size.astype(np.int64), pa.array(names, mask=empty), blob)
+            yield batch(schema, s.column("doc_id").cast(pa.int64()), s.column("th"), size.astype(np.int64), pa.array(names, mask=empty), blob)
 
-    return spread(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, u long, sig binary")
+    return spread(docs).select("doc_id", text_hash().alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, u long, sig binary")
 
 
 def unit_names(g: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -225,14 +225,25 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, hot: in
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+    """doc_id, th, n_shingles, component_id, kept for every row of docs."""
     docs = spread(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
     rows = cut(sketch(docs), "near-rows")
     links = near_links(docs, rows, percent)
     cc = connected_components(links, "x", "y").withColumnRenamed("node", "u")
-    rows = rows.select("doc_id", "n_shingles", "u").join(cut(cc, "near-cc"), "u", "left").withColumn("c", F.coalesce("component", "u"))
+    rows = rows.select("doc_id", "th", "n_shingles", "u").join(cut(cc, "near-cc"), "u", "left").withColumn("c", F.coalesce("component", "u"))
     named = rows.where("c is not null and doc_id is not null")
     least = cut(named.groupBy("c").agg(F.min("doc_id").alias("m")), "near-least")
-    linked = named.join(least, "c").select("doc_id", "n_shingles", F.col("m").alias("component_id"))
-    alone = rows.where("c is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = named.join(least, "c").select("doc_id", "th", "n_shingles", F.col("m").alias("component_id"))
+    alone = rows.where("c is null or doc_id is null").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each group, the smallest doc_id, and with one of rows that repeat a doc_id and its text."""
+    groups = cut(near_groups(docs, percent).select("doc_id", "th", "kept"), "near-decisions")
+    gone = groups.where("not kept").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
+    d = docs.withColumn("_th", text_hash())
+    out = d.join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("_th") == F.col("_t")), "left_anti")
+    if groups.where("kept and doc_id is not null").groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
+        out = out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id", "_th"]))
+    return out.select(docs.columns)

@@ -34,7 +34,7 @@ END = 0
 NULL_ID = -(2**63)
 _CACHE: dict = {}
 _CACHE_MOST = 1_000_000  # words kept by a worker, about 40 bytes each
-ROWS = pa.schema([("shard", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64())])
+ROWS = pa.schema([("shard", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("mark", pa.int64())])
 
 
 class Encoder:
@@ -204,18 +204,16 @@ def mapped(folder: str, name: str, kind):
         shutil.rmtree(temp, ignore_errors=True)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, order: list | None = None, step: int = 1 << 20) -> DataFrame:
-    """Write the files; returns one row per document: shard, row, doc_id, local offset, n_tokens. Runs now, once.
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, mark: str | None = None, step: int = 1 << 20) -> DataFrame:
+    """Write the files in ascending order of doc_id; returns one row per document: shard, row, doc_id, local, n_tokens, mark.
 
-    order: columns that say the order of documents (doc_id, nulls first). Shards are ranges of it."""
+    mark: a long column to carry along, such as a place in another order. Runs now, once."""
     from pyspark import TaskContext
 
-    order = order or [F.col("doc_id").asc_nulls_first()]
-    keep = [f"_o{i}" for i in range(len(order))]
-    columns = docs.columns
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in columns if c in keep])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(mark) if mark else F.lit(None)).cast("long").alias("mark"))
     n = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
-    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    order = F.col("doc_id").asc_nulls_first()
+    rows = rows.repartitionByRange(n, order).sortWithinPartitions(order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -236,11 +234,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, order: list | Non
                     doc = part.column("doc_id")
                     ids.write(pc.fill_null(doc, NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                     k = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, shard, np.int32)), pa.array(np.arange(row, row + k)), doc.cast(pa.int64()), pa.array(off[:-1] + at), pa.array(np.diff(off))], schema=ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, shard, np.int32)), pa.array(np.arange(row, row + k)), doc.cast(pa.int64()), pa.array(off[:-1] + at), pa.array(np.diff(off)), part.column("mark")], schema=ROWS)
                     at, row = at + int(off[-1]), row + k
         release()
 
-    return cut(rows.mapInArrow(write, "shard int, row long, doc_id long, local long, n_tokens long"), "token-rows")
+    return cut(rows.mapInArrow(write, "shard int, row long, doc_id long, local long, n_tokens long, mark long"), "token-rows")
 
 
 def shard_bases(rows: DataFrame) -> DataFrame:
@@ -272,10 +270,11 @@ def read_tokens(bases: DataFrame, folder: str, vocab: int) -> DataFrame:
     return bases.repartition(max(n, bases.sparkSession.sparkContext.defaultParallelism * 4), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, row long")
 
 
-def token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, order: list | None = None) -> DataFrame:
-    """Encode, write, read back. One row per document; shard and row say where its ids lie."""
+def token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, mark: str | None = None) -> DataFrame:
+    """Encode, write, read back. One row per document; shard and row say where its ids lie, mark is carried along."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     vocab = encoder(tokenizer).vocab
-    rows = write_tokens(spread(docs), tokenizer, folder, order)
-    return read_tokens(cut(shard_bases(rows), "token-bases"), folder, vocab)
+    rows = write_tokens(spread(docs), tokenizer, folder, mark)
+    out = read_tokens(cut(shard_bases(rows), "token-bases"), folder, vocab)
+    return out.join(rows.select("shard", "row", "mark"), ["shard", "row"], "left") if mark else out
