@@ -6,7 +6,8 @@ names alike everywhere without a shuffle, and equal substrings get equal symbols
 range of words that decides it; a window owns the symbols whose range lies inside it. The anchor of a window is the least
 hash among the symbols that it owns on the highest level where it owns any (words themselves are level 0, so there is one).
 
-Rows of windows with one anchor are counted by Spark over the whole corpus (karst.llm.windows): shared symbols with equal
+With the anchor go the words that all windows with the anchor at about the same place cover (half a window), so that a
+class is not shared by chance. Rows of windows with one anchor are counted by Spark over the whole corpus (karst.llm.windows): shared symbols with equal
 contents are repeats at once; classes of unequal contents are verified window by window on 128-bit content hashes.
 
 Edge cases: null and empty texts have no words; a null doc_id comes back as null; rows that repeat doc_id and text are one
@@ -129,14 +130,20 @@ def word_anchors(t: Texts, length: int = LENGTH, rounds: int = ROUNDS) -> tuple:
             where[todo[own]] = v.start[sym] * (rounds + 1) + k
             name[todo[own]] = mix(v.name[sym] + U(k))
         todo = todo[~own]
-    first = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (p[1:] != p[:-1] + 1)]))
+    # windows are told apart further by where the anchor stands in them, in steps of `step` words: those of one step all
+    # cover the same `length - step + 1` words, whose hash makes the class as rare as a text of that length
+    step = length // 2 + 1
+    slot = (where // (rounds + 1) - p) // step
+    first = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (slot[1:] != slot[:-1]) | (p[1:] != p[:-1] + 1)]))
     last = np.append(first[1:], len(p)) - 1
     lo, n = p[first], last - first + 1
     total = word_prefix(h)
     _, ip = powers(len(h) + 1)
+    core = where[first] // (rounds + 1) - slot[first] * step
+    a = hash_of((total[core + length - step + 1] - total[core]) * ip[core], name[first].view(np.int64), slot[first])
     c = hash_of((total[lo + n - 1 + length] - total[lo]) * ip[lo], n, where[first] // (rounds + 1) - lo)
     d = t.wd[lo]
-    return name[first], c, d, lo - t.wc[d], n
+    return a, c, d, lo - t.wc[d], n
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, rounds: int = ROUNDS) -> DataFrame:
