@@ -8,8 +8,8 @@ Ranks of an element are a permutation, which lowers the variance of the estimate
 Texts with equal sets are one unit. Units that share a band of 5 places meet in a bucket. Each bucket first compares its
 members with one centre of its own; the confirmed links give provisional groups. Only where a bucket still holds more than
 one group are the members outside its largest group compared with the rest, so that a group of thousands of copies costs
-one comparison a copy. Buckets above `hot` units are split by each further band before that (a linked pair shares about
-eleven of 25). Pairs go by size, by signature estimate (6 standard deviations below the threshold), then by the full sets.
+a few comparisons a copy: first with a few of the bucket's main group, and only those still outside with all others. Buckets
+above `hot` units are split by each further band before that (a linked pair shares about eleven of 25). Pairs go by size, by signature estimate (6 standard deviations below the threshold), then by the full sets.
 
 A linked pair at the threshold is missed with a probability below 1e-6, and less for closer ones.
 
@@ -33,7 +33,8 @@ PERCENT = 80
 PLACES = 128
 ROWS = 5
 BANDS = 25
-HOT = 512
+HOT = 16
+REPS = 1_000_000  # units whose texts are found by a broadcast of 24 bytes each; more of them by a shuffle
 _STEP = 25  # bits of r; a value is step << 25 | r
 
 
@@ -171,6 +172,8 @@ def _texts_of(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     need = pairs.select(F.col("x").alias("u")).union(pairs.select("y")).distinct()
     rep = rows.select("u", "doc_id").join(need, "u").groupBy("u").agg(F.min("doc_id").alias("doc_id"))
     rep = cut(rep, "near-reps")
+    if rep.count() <= REPS:
+        rep = F.broadcast(rep)
     schema = pa.schema([("u", pa.int64()), ("text", pa.string())])
 
     def run(batches):  # a doc_id may name several texts: only the one with this set
@@ -183,7 +186,15 @@ def _texts_of(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(found.dropDuplicates(["u"]), "near-texts")
 
 
-def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """b, u, g, size, main: members of the buckets that hold more than one provisional group; main is the largest of them."""
+    groups = connected_components(links, "x", "y").withColumnRenamed("node", "u")
+    m = members.join(cut(groups, "near-groups"), "u", "left").select("b", "u", F.coalesce("component", "u").alias("g"), "size")
+    by = m.groupBy("b", "g").count().groupBy("b").agg(F.max_by("g", F.struct("count", "g")).alias("main"), F.count("*").alias("k")).where("k > 1").select("b", "main")
+    return cut(m.join(by, "b"), "near-open")
+
+
+def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, hot: int = HOT, turns: int = 2, centres: int = 4) -> DataFrame:
     """x, y: confirmed links between units that join every linked group (not all pairs of it)."""
     spark = docs.sparkSession
     rows = rows.where("u is not null and doc_id is not null")
@@ -193,32 +204,41 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, hot: in
     members = cut(bands.join(buckets, "b").select("b", "u", F.col("c.u").alias("centre"), "size"), "near-members")
     free_shuffles(spark)
 
-    first = cut(_likely(members.where("u <> centre").select(F.col("centre").alias("x"), F.col("u").alias("y")).distinct(), units, percent), "near-pairs")
-    links = cut(_confirm(first, _texts_of(first, rows, docs), percent), "near-links")
-    free_shuffles(spark)
-    groups = cut(connected_components(links, "x", "y"), "near-groups")
-
-    m = members.join(groups.withColumnRenamed("node", "u"), "u", "left").select("b", "u", F.coalesce("component", "u").alias("g"), "size", "centre")
-    open_ = m.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("b")
-    m = cut(m.join(open_, "b"), "near-open")
-    small, large = m.where(F.col("size") <= hot), m.where(F.col("size") > hot)
-    if large.limit(1).count():
-        # A hot bucket is split by every other band of its members.
-        other = _bands(units.join(large.select("u").distinct(), "u")).select(F.col("b").alias("b2"), "u")
-        split = large.join(other, "u").where("b <> b2").select(F.xxhash64(F.least("b", "b2"), F.greatest("b", "b2")).alias("b"), "u", "g", "centre").distinct()
-        some = split.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("b")
-        small = small.select("b", "u", "g", "centre").unionByName(split.join(some, "b"))
-    m = cut(small.select("b", "u", "g"), "near-open")
+    def test(pairs: DataFrame) -> None:
+        """Confirm pairs that no earlier turn has tested and add the links."""
+        nonlocal tested, links
+        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["x", "y"], "left_anti")
+        some = cut(_likely(pairs, units, percent), "near-pairs")
+        found = cut(_confirm(some, _texts_of(some, rows, docs), percent), "near-links")
+        tested = some if tested is None else tested.unionByName(some)
+        links = found if links is None else links.unionByName(found)
+        free_shuffles(spark)
+
+    tested = links = None
+    # every bucket against its centre, then what is outside a bucket's main group against a few of that group
+    test(members.where("u <> centre").select(F.col("centre").alias("x"), F.col("u").alias("y")))
+    m = _open(members, links)
+    for turn in range(turns):
+        if not m.limit(1).count():
+            return links
+        at = m.where("g = main").groupBy("b").agg(*[F.min_by("u", F.xxhash64("u", F.lit(turn * centres + i))).alias(f"c{i}") for i in range(centres)])
+        pairs = m.where("g <> main").select("b", F.col("u").alias("x")).join(at, "b")
+        test(pairs.select("x", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(centres)]))).alias("y")))
+        m = _open(members, links)
+
+    # all pairs across groups that are left, hot buckets split by every other band of their members first
+    small, large = m.where(F.col("size") <= hot).select("b", "u", "g"), m.where(F.col("size") > hot)
+    other = _bands(units.join(large.select("u").distinct(), "u")).select(F.col("b").alias("b2"), "u")
+    split = large.select("b", "u", "g").join(other, "u").where("b <> b2").select(F.xxhash64(F.least("b", "b2"), F.greatest("b", "b2")).alias("b"), "u", "g").distinct()
+    some = split.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("b")
+    m = cut(small.unionByName(split.join(some, "b")), "near-open")
     main = m.groupBy("b", "g").count().groupBy("b").agg(F.max_by("g", F.struct("count", "g")).alias("main"))
-    m = m.join(main, "b")
-    out = m.where("g <> main").select("b", F.col("u").alias("x"), F.col("g").alias("gx"))
-    pairs = out.join(m.select("b", F.col("u").alias("y"), F.col("g").alias("gy"), "main"), "b").where("gx <> gy and (gy = main or x < y)")
-    pairs = pairs.select("x", "y").distinct()
-    tested = first.select("x", "y").union(first.select("y", "x"))
-    second = cut(_likely(pairs, units, percent).join(tested, ["x", "y"], "left_anti"), "near-pairs")
-    free_shuffles(spark)
-    if second.limit(1).count():
-        links = links.unionByName(cut(_confirm(second, _texts_of(second, rows, docs), percent), "near-links"))
+    m = m.join(main, "b").join(units.select("u", "n"), "u")
+    out = m.where("g <> main").select("b", F.col("u").alias("x"), F.col("g").alias("gx"), F.col("n").alias("nx"))
+    pairs = out.join(m.select("b", F.col("u").alias("y"), F.col("g").alias("gy"), "main", F.col("n").alias("ny")), "b").where("gx <> gy and (gy = main or x < y)")
+    test(pairs.where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent))
     drop_cut(units)
     drop_cut(members)
     return links
