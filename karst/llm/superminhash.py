@@ -9,7 +9,8 @@ Texts with equal sets are one unit. Units that share a band of 5 places meet in
 members with one centre of its own; the confirmed links give provisional groups. Only where a bucket still holds more than
 one group are the members outside its largest group compared with the rest, so that a group of thousands of copies costs
 a few comparisons a copy: first with a few of the bucket's main group, and only those still outside with all others. Buckets
-above `hot` units are split by each further band before that (a linked pair shares about eleven of 25). Pairs go by size, by signature estimate (6 standard deviations below the threshold), then by the full sets.
+above `hot` units are split by each further band before that (a linked pair shares about eleven of 25). Pairs go by size, by signature estimate (5 standard deviations below the threshold), then by the full sets; all pairs
+across groups of an open bucket are met inside a join whose condition holds 4 bits of every place against each other.
 
 A linked pair at the threshold is missed with a probability below 1e-6, and less for closer ones.
 
@@ -30,12 +31,13 @@ from karst.sources.shared import cut, drop_cut, free_shuffles, spread, text_hash
 
 SHINGLE = 5
 PERCENT = 80
-PLACES = 128
+PLACES = 256
 ROWS = 5
 BANDS = 25
+PACKS = PLACES // 16
 HOT = 16
 REPS = 1_000_000  # units whose texts are found by a broadcast of 24 bytes each; more of them by a shuffle
-_STEP = 25  # bits of r; a value is step << 25 | r
+_STEP = 24  # bits of r; a value is step << 25 | r
 
 
 def shingle_sets(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -131,11 +133,33 @@ def _bands(units: DataFrame) -> DataFrame:
     return units.select("u", "sig").mapInArrow(run, "b long, u long")
 
 
+def _packed(units: DataFrame) -> DataFrame:
+    """u, n and the low 4 bits of every place in PACKS longs."""
+    schema = pa.schema([("u", pa.int64()), ("n", pa.int64()), *[(f"p{i}", pa.int64()) for i in range(PACKS)]])
+
+    def run(batches):
+        for rb in batches:
+            if rb.num_rows:
+                sig = np.frombuffer(b"".join(rb.column("sig").to_pylist()), np.uint32).reshape(-1, PLACES).astype(np.uint8) & np.uint8(15)
+                p = np.ascontiguousarray(sig[:, 0::2] | sig[:, 1::2] << np.uint8(4)).view(np.int64)
+                yield batch(schema, rb.column("u"), rb.column("n"), *[np.ascontiguousarray(p[:, i]) for i in range(PACKS)])
+
+    return units.select("u", "n", "sig").mapInArrow(run, "u long, n long, " + ", ".join(f"p{i} long" for i in range(PACKS)))
+
+
+def _near_in_bits(percent: int) -> F.Column:
+    """Of packed places x0.. and y0.., so many agree that the threshold is within 5 standard deviations."""
+    q = (1 - percent / 100) * 15 / 16
+    most = int(PLACES * q + 5 * (PLACES * q * (1 - q)) ** 0.5) + 1
+    fold = "bit_count((({d}) | shiftrightunsigned({d}, 1) | shiftrightunsigned({d}, 2) | shiftrightunsigned({d}, 3)) & 1229782938247303441L)"
+    return F.expr(" + ".join(fold.format(d=f"x{i} ^ y{i}") for i in range(PACKS)) + f" <= {most}")
+
+
 def _likely(pairs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     """Pairs that sizes and signatures do not rule out."""
     a, b = units.select(F.col("u").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx")), units.select(F.col("u").alias("y"), F.col("n").alias("ny"), F.col("sig").alias("sy"))
     j = percent / 100
-    least = int(PLACES * (j - 6 * (j * (1 - j) / PLACES) ** 0.5))
+    least = int(PLACES * (j - 5 * (j * (1 - j) / PLACES) ** 0.5))
 
     def run(batches):
         for rb in batches:
@@ -235,10 +259,12 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, hot: in
     some = split.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("b")
     m = cut(small.unionByName(split.join(some, "b")), "near-open")
     main = m.groupBy("b", "g").count().groupBy("b").agg(F.max_by("g", F.struct("count", "g")).alias("main"))
-    m = m.join(main, "b").join(units.select("u", "n"), "u")
-    out = m.where("g <> main").select("b", F.col("u").alias("x"), F.col("g").alias("gx"), F.col("n").alias("nx"))
-    pairs = out.join(m.select("b", F.col("u").alias("y"), F.col("g").alias("gy"), "main", F.col("n").alias("ny")), "b").where("gx <> gy and (gy = main or x < y)")
-    test(pairs.where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent))
+    m = m.join(main, "b").join(_packed(units), "u")
+    names = [f"p{i}" for i in range(PACKS)]
+    out = m.where("g <> main").select("b", F.col("u").alias("x"), F.col("g").alias("gx"), F.col("n").alias("nx"), *[F.col(p).alias(f"x{i}") for i, p in enumerate(names)])
+    into = m.select("b", F.col("u").alias("y"), F.col("g").alias("gy"), "main", F.col("n").alias("ny"), *[F.col(p).alias(f"y{i}") for i, p in enumerate(names)])
+    sizes = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
+    test(out.join(into, "b").where(F.expr("gx <> gy and (gy = main or x < y)") & sizes & _near_in_bits(percent)))
     drop_cut(units)
     drop_cut(members)
     return links
