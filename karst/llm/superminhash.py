@@ -8,11 +8,11 @@ Ranks of an element are a permutation, which lowers the variance of the estimate
 Texts with equal sets are one unit. Units that share a band of 5 places meet in a bucket. Each bucket first compares its
 members with one centre of its own; the confirmed links give provisional groups. Only where a bucket still holds more than
 one group are the members outside its largest group compared with the rest, so that a group of thousands of copies costs
-a few comparisons a copy: first with a few of the bucket's main group, and only those still outside with all others. Buckets
-above `hot` units are split by each further band before that (a linked pair shares about eleven of 25). Pairs go by size, by signature estimate (5 standard deviations below the threshold), then by the full sets; all pairs
-across groups of an open bucket are met inside a join whose condition holds 4 bits of every place against each other.
+a few comparisons a copy: first with a few of the bucket's main group. What is then still open is settled around the bucket's
+centre, by what each set shares with it and what it has besides, which rules out nearly all pairs without making them. Pairs
+go by size, by signature estimate (5 standard deviations below the threshold), then by the full sets.
 
-A linked pair at the threshold is missed with a probability below 1e-6, and less for closer ones.
+A linked pair at the threshold is missed with a probability below 1e-6 (bands and estimate), and less for closer ones.
 
 Edge cases: null and empty texts have an empty set, link with nothing and are kept; a null doc_id links with nothing, has a
 null component and is kept; rows that repeat a doc_id are judged by their own texts.
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from karst.llm.arrowtext import COEF, SLICE, Texts, U, batch, gram_hashes, mix, slices
@@ -34,8 +34,6 @@ PERCENT = 80
 PLACES = 256
 ROWS = 5
 BANDS = 25
-PACKS = PLACES // 16
-HOT = 16
 REPS = 1_000_000  # units whose texts are found by a broadcast of 24 bytes each; more of them by a shuffle
 _STEP = 24  # bits of r; a value is step << 25 | r
 
@@ -133,28 +131,6 @@ def _bands(units: DataFrame) -> DataFrame:
     return units.select("u", "sig").mapInArrow(run, "b long, u long")
 
 
-def _packed(units: DataFrame) -> DataFrame:
-    """u, n and the low 4 bits of every place in PACKS longs."""
-    schema = pa.schema([("u", pa.int64()), ("n", pa.int64()), *[(f"p{i}", pa.int64()) for i in range(PACKS)]])
-
-    def run(batches):
-        for rb in batches:
-            if rb.num_rows:
-                sig = np.frombuffer(b"".join(rb.column("sig").to_pylist()), np.uint32).reshape(-1, PLACES).astype(np.uint8) & np.uint8(15)
-                p = np.ascontiguousarray(sig[:, 0::2] | sig[:, 1::2] << np.uint8(4)).view(np.int64)
-                yield batch(schema, rb.column("u"), rb.column("n"), *[np.ascontiguousarray(p[:, i]) for i in range(PACKS)])
-
-    return units.select("u", "n", "sig").mapInArrow(run, "u long, n long, " + ", ".join(f"p{i} long" for i in range(PACKS)))
-
-
-def _near_in_bits(percent: int) -> F.Column:
-    """Of packed places x0.. and y0.., so many agree that the threshold is within 5 standard deviations."""
-    q = (1 - percent / 100) * 15 / 16
-    most = int(PLACES * q + 5 * (PLACES * q * (1 - q)) ** 0.5) + 1
-    fold = "bit_count((({d}) | shiftrightunsigned({d}, 1) | shiftrightunsigned({d}, 2) | shiftrightunsigned({d}, 3)) & 1229782938247303441L)"
-    return F.expr(" + ".join(fold.format(d=f"x{i} ^ y{i}") for i in range(PACKS)) + f" <= {most}")
-
-
 def _likely(pairs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     """Pairs that sizes and signatures do not rule out."""
     a, b = units.select(F.col("u").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx")), units.select(F.col("u").alias("y"), F.col("n").alias("ny"), F.col("sig").alias("sy"))
@@ -210,22 +186,79 @@ def _texts_of(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(found.dropDuplicates(["u"]), "near-texts")
 
 
+def _possible(m: DataFrame, rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """x, y: pairs of different groups around one centre that could reach the threshold. m: c (centre), u, g.
+
+    With i = |u & c| and the rest of u, |x & y| is at most min(ix, iy) plus the elements outside c that both have. So a pair
+    either passes by its four sizes alone, or shares a rest element; of those, each unit shows only its rarest, as many as
+    must contain a shared one if the pair is linked (prefix filter)."""
+    pairs = m.select(F.col("c").alias("x"), F.col("u").alias("y"))
+    texts = _texts_of(pairs, rows, docs)
+    a, b = texts.select(F.col("u").alias("c"), F.col("text").alias("tc")), texts.select("u", F.col("text").alias("tu"))
+
+    def run(batches):
+        for s in slices(batches, "tu"):
+            g, gb = shingle_sets(Texts(s.column("tc"), lower=True))
+            h, hb = shingle_sets(Texts(s.column("tu"), lower=True))
+            rest, size = [], np.zeros(s.num_rows, np.int64)
+            for i in range(s.num_rows):
+                p, q = g[gb[i] : gb[i + 1]], h[hb[i] : hb[i + 1]]
+                at = np.minimum(np.searchsorted(p, q), max(len(p) - 1, 0))
+                r = q[p[at] != q] if len(p) else q
+                size[i] = len(q)
+                rest.append(r.view(np.int64))
+            yield pa.RecordBatch.from_arrays([s.column("c"), s.column("u"), s.column("g"), pa.array(size), pa.array(size - np.array([len(r) for r in rest], np.int64)), pa.array(rest, pa.list_(pa.int64()))], ["c", "u", "g", "n", "i", "rest"])
+
+    around = cut(m.join(a, "c").join(b, "u").select("c", "u", "g", "tc", "tu").mapInArrow(run, "c long, u long, g long, n long, i long, rest array<long>"), "near-around")
+    # the reference grows by what many members have besides: the bounds hold for any reference set
+    every = around.groupBy("c").agg(F.count("*").alias("m"))
+    e = around.select("c", "u", F.explode("rest").alias("e"))
+    often = e.groupBy("c", "e").agg(F.count("*").alias("count")).join(every, "c")
+    shared = (F.col("count") >= 10) & (F.col("count") * 20 >= F.col("m"))
+    e = cut(e.join(often, ["c", "e"]).select("c", "u", "e", "count", shared.alias("shared")), "near-rest")
+    more = e.where("shared").groupBy("c", "u").agg(F.count("*").alias("more"))
+    around = around.drop("rest").join(more, ["c", "u"], "left").withColumn("i", F.col("i") + F.coalesce("more", F.lit(0))).drop("more")
+    around = cut(around, "near-around")
+    side = lambda df, k: df.select("c", *[F.col(v).alias(f"{v}{k}") for v in ("u", "g", "n", "i")])
+    main = around.groupBy("c", "g").count().groupBy("c").agg(F.max_by("g", F.struct("count", "g")).alias("main"))
+    least = F.least("i1", "i2")
+    sizes = (F.col("g1") != F.col("g2")) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
+    enough = least * 100 >= (F.col("n1") + F.col("n2") - least) * percent
+    with_main = around.join(main, "c")
+    one = side(with_main.where("g <> main"), 1).join(side(around, 2), "c").where(sizes & enough).select(F.col("u1").alias("x"), F.col("u2").alias("y"))
+
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100).cast("long") - F.col("i"))
+    show = F.col("n") - F.col("i") - need + 1
+    e = e.where("not shared").join(around.withColumn("show", show).where("show > 0"), ["c", "u"])
+    e = e.withColumn("r", F.row_number().over(Window.partitionBy("c", "u").orderBy("count", "e"))).where((F.col("r") <= F.col("show")) & (F.col("count") > 1))
+    e = cut(e.select("c", "e", "u", "g", "n", "i"), "near-shown")
+    keyed = lambda k: e.select("c", "e", *[F.col(v).alias(f"{v}{k}") for v in ("u", "g", "n", "i")])
+    most = F.least("i1", "i2") + F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2"))
+    could = most * 100 >= (F.col("n1") + F.col("n2") - most) * percent
+    two = keyed(1).join(keyed(2), ["c", "e"]).where((F.col("u1") < F.col("u2")) & sizes & could).select(F.col("u1").alias("x"), F.col("u2").alias("y"))
+    return one.unionByName(two)
+
+
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """b, u, g, size, main: members of the buckets that hold more than one provisional group; main is the largest of them."""
-    groups = connected_components(links, "x", "y").withColumnRenamed("node", "u")
-    m = members.join(cut(groups, "near-groups"), "u", "left").select("b", "u", F.coalesce("component", "u").alias("g"), "size")
+    """b, u, g, main, centre: members of the buckets that hold more than one provisional group. main is the largest of them,
+    centre the unit of the whole main group with the most links, which lies near the middle of a family of copies."""
+    groups = cut(connected_components(links, "x", "y").withColumnRenamed("node", "u"), "near-groups")
+    degree = links.select(F.col("x").alias("u")).union(links.select("y")).groupBy("u").count()
+    middle = groups.join(degree, "u").groupBy("component").agg(F.max_by("u", F.struct("count", "u")).alias("middle"))
+    m = members.join(groups, "u", "left").select("b", "u", F.coalesce("component", "u").alias("g"))
     by = m.groupBy("b", "g").count().groupBy("b").agg(F.max_by("g", F.struct("count", "g")).alias("main"), F.count("*").alias("k")).where("k > 1").select("b", "main")
+    by = by.join(middle, by.main == middle.component, "left").select("b", "main", F.coalesce("middle", "main").alias("centre"))
     return cut(m.join(by, "b"), "near-open")
 
 
-def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, hot: int = HOT, turns: int = 2, centres: int = 4) -> DataFrame:
+def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, turns: int = 2, centres: int = 4) -> DataFrame:
     """x, y: confirmed links between units that join every linked group (not all pairs of it)."""
     spark = docs.sparkSession
     rows = rows.where("u is not null and doc_id is not null")
     units = cut(rows.groupBy("u").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "near-units")
     bands = _bands(units)
     buckets = bands.groupBy("b").agg(F.min(F.struct(F.xxhash64("u").alias("p"), "u")).alias("c"), F.count("*").alias("size")).where("size > 1")
-    members = cut(bands.join(buckets, "b").select("b", "u", F.col("c.u").alias("centre"), "size"), "near-members")
+    members = cut(bands.join(buckets, "b").select("b", "u", F.col("c.u").alias("centre")), "near-members")
     free_shuffles(spark)
 
     def test(pairs: DataFrame) -> None:
@@ -252,19 +285,9 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, hot: in
         test(pairs.select("x", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(centres)]))).alias("y")))
         m = _open(members, links)
 
-    # all pairs across groups that are left, hot buckets split by every other band of their members first
-    small, large = m.where(F.col("size") <= hot).select("b", "u", "g"), m.where(F.col("size") > hot)
-    other = _bands(units.join(large.select("u").distinct(), "u")).select(F.col("b").alias("b2"), "u")
-    split = large.select("b", "u", "g").join(other, "u").where("b <> b2").select(F.xxhash64(F.least("b", "b2"), F.greatest("b", "b2")).alias("b"), "u", "g").distinct()
-    some = split.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("b")
-    m = cut(small.unionByName(split.join(some, "b")), "near-open")
-    main = m.groupBy("b", "g").count().groupBy("b").agg(F.max_by("g", F.struct("count", "g")).alias("main"))
-    m = m.join(main, "b").join(_packed(units), "u")
-    names = [f"p{i}" for i in range(PACKS)]
-    out = m.where("g <> main").select("b", F.col("u").alias("x"), F.col("g").alias("gx"), F.col("n").alias("nx"), *[F.col(p).alias(f"x{i}") for i, p in enumerate(names)])
-    into = m.select("b", F.col("u").alias("y"), F.col("g").alias("gy"), "main", F.col("n").alias("ny"), *[F.col(p).alias(f"y{i}") for i, p in enumerate(names)])
-    sizes = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
-    test(out.join(into, "b").where(F.expr("gx <> gy and (gy = main or x < y)") & sizes & _near_in_bits(percent)))
+    if m.limit(1).count():
+        around = m.select(F.col("centre").alias("c"), "u", "g").union(m.select("centre", "centre", "main")).distinct()
+        test(_possible(around, rows, docs, percent))
     drop_cut(units)
     drop_cut(members)
     return links
