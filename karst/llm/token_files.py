@@ -33,7 +33,7 @@ from karst.sources.shared import cut, local_path, new_path, spread
 END = 0
 NULL_ID = -(2**63)
 _CACHE: dict = {}
-_CACHE_MOST = 1_000_000  # words kept by a worker, about 40 bytes each
+_CACHE_MOST = 500_000  # words kept by a worker, about 40 bytes each
 ROWS = pa.schema([("shard", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("mark", pa.int64())])
 
 
