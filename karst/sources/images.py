@@ -6,14 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from karst.functions.codes import basename, is_image
 
 PARSERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 _ID = "string"
-COCO = T.StructType.fromDDL(f"images array<struct<id:{_ID},file_name:string,width:int,height:int,partition_key:string>>, annotations array<struct<image_id:{_ID},category_id:bigint,bbox:array<double>>>, categories array<struct<id:bigint,name:string>>")
+COCO = (f"images array<struct<id:{_ID},file_name:string,width:int,height:int,partition_key:string>>, annotations array<struct<image_id:{_ID},category_id:bigint,bbox:array<double>>>, categories array<struct<id:bigint,name:string>>")
 
 
 def scan_images(spark: SparkSession, root: str, recursive: bool = True, content: bool = True) -> DataFrame:
