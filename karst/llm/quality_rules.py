@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.arrowtext import SLICE, Texts, U, batch, covered, gram_hashes, mix, per_text, slices
+from karst.llm.arrowtext import SLICE, Texts, U, batch, covered, gram_hashes, mix, per_text, release, slices
 from karst.llm.linear import held_out, labelled, platt, sigmoid
 from karst.sources.shared import spread
 
@@ -106,8 +106,8 @@ def fit(column: pa.Array, y: np.ndarray, bits: int = BITS, epochs: int = 30) ->
             fs, vs = [], []
             for k, (f, bound) in enumerate(grams):
                 u, c = np.unique(f[bound[i] : bound[i + 1]], return_counts=True)
-                fs.append(u.astype(np.int64) + (k << bits))
-                vs.append(c / max(bound[i + 1] - bound[i], 1))
+                fs.append(u.astype(np.int32) + np.int32(k << bits))
+                vs.append((c / max(bound[i + 1] - bound[i], 1)).astype(np.float32))
             v = np.concatenate(vs)
             rows.append((np.concatenate(fs), v))
 
@@ -134,6 +134,8 @@ def fit(column: pa.Array, y: np.ndarray, bits: int = BITS, epochs: int = 30) ->
         w, b = train(every[~fold])
         a, k = platt(np.array([w[rows[i][0]] @ rows[i][1] + b for i in every[fold]]), y[fold])
     w, b = train(every)
+    rows.clear()
+    release()
     return {"bits": bits, "w": w.astype(np.float32).reshape(4, -1), "b": float(b), "a": a, "c": k}
 
 
