@@ -22,6 +22,7 @@ def arguments() -> argparse.ArgumentParser:
     s.add_argument("--source")
     s.add_argument("--out", default="data/planted")
     sub.add_parser("score").add_argument("--manifest", default="data/planted/plant_manifest.json")
+    sub.add_parser("train-twice").add_argument("--max-images", type=int, default=200)
     s = sub.add_parser("make-leakage-demo")
     s.add_argument("--val-frac", type=float, default=0.25)
     s.add_argument("--leak-count", type=int, default=15)
@@ -49,6 +50,8 @@ def main(argv: list[str] | None = None, spark=None) -> None:
         tables = folder.report(spark, cfg)
     elif a.command == "score":
         tables = folder.score_run(spark, cfg, a.manifest)
+    elif a.command == "train-twice":
+        tables = (folder.train_twice(spark, cfg, a.max_images),)
     elif a.command == "run-all":
         folder.run(spark, cfg, spark.read.parquet(a.embeddings) if a.embeddings else None)
         tables = folder.report(spark, cfg)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from karst.functions.codes import basename, infer_split
 from karst.functions.perceptual import hash_images
-from karst.operators import exact, score
+from karst.operators import exact, leakage, score
 from karst.operators.components import connected_components
 from karst.plans import cascade
 from karst.plans.config import Config
@@ -107,19 +107,39 @@ def run(spark: SparkSession, cfg: Config, embeddings: DataFrame | None = None) -
     save(spark.createDataFrame([tuple(r.metrics[c.split()[0]] for c in shape.split(", ")) for r in results], shape), "metrics")
     if cfg.leakage.enabled:
         c = cfg.leakage
-        inner = F.regexp_replace("path", "^" + one_form_text(root), "")  # the root's own name says nothing about splits
-        items = results[0].survivors.join(ids, "item_id").select(F.col("path").alias("item_id"), infer_split(inner, [c.train_split, *c.eval_splits]).alias("split"))
+        items = splits(results[0].survivors.join(ids, "item_id"), cfg)
         edges = [r.edges for r in results[1:3] if r.edges is not None]
         both = ends(edges[0].unionByName(edges[-1]) if edges else spark.createDataFrame([], "src long, dst long"))
         save(cascade.leakage_report(items.where("split is not null"), both, cfg)[0], "leakage")
 
 
+def splits(paths: DataFrame, cfg: Config) -> DataFrame:
+    """item_id (the path), split; the root's own name says nothing about splits."""
+    inner = F.regexp_replace("path", "^" + one_form_text(cfg.io.image_root), "")
+    return paths.select(F.col("path").alias("item_id"), infer_split(inner, [cfg.leakage.train_split, *cfg.leakage.eval_splits]).alias("split"))
+
+
 def one_form_text(root: str) -> str:
     import re
 
     return "(file:/)?" + re.escape(re.sub("^file:/+", "/", root).strip("/")) if root.startswith(("/", "file:")) else re.escape(root)
 
 
+def train_twice(spark: SparkSession, cfg: Config, max_images: int | None = 200) -> DataFrame:
+    """Writes the lists to train on with and without what a run has removed, and to test on, as Parquet (role, item_id) and
+    returns their counts. max_images is the length of a list; None: all."""
+    c = cfg.leakage
+    items = splits(number(spark, cfg.io.image_root), cfg)
+    gone = spark.read.parquet(f"{cfg.io.output_dir}/removed").select(F.col("path").alias("item_id"))
+    sets = leakage.train_twice_sets(items, gone, c.train_split, c.eval_splits, max_images)
+    sets.write.mode("overwrite").parquet(f"{cfg.io.output_dir}/train_twice")
+    counts = leakage.train_twice_counts(spark.read.parquet(f"{cfg.io.output_dir}/train_twice"))
+    n = counts.first()
+    if not n.n_train_raw or not n.n_test:
+        raise ValueError(f"train-twice needs images of {c.train_split} and of one of {c.eval_splits} in their paths; found {n.n_train_raw} and {n.n_test}")
+    return counts
+
+
 def report(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame]:
     return score.report(spark.read.parquet(f"{cfg.io.output_dir}/metrics"))
 
