@@ -15,7 +15,12 @@ def arguments() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("show-config", "profile", "report"):
         sub.add_parser(name)
-    sub.add_parser("run-all").add_argument("--embeddings", help="Parquet table: path, embedding")
+    for name in ("run", "run-all"):
+        s = sub.add_parser(name)
+        s.add_argument("--embeddings", help="Parquet table: path, embedding")
+        s.add_argument("--force", action="store_true", help="run stages again that have written their results")
+        if name == "run":
+            s.add_argument("--stage", type=int, choices=(1, 2, 3, 4), required=True)
     s = sub.add_parser("plant")
     for tier in ("exact", "near", "semantic"):
         s.add_argument(f"--{tier}", type=int, default=10)
@@ -52,9 +57,14 @@ def main(argv: list[str] | None = None, spark=None) -> None:
         tables = folder.score_run(spark, cfg, a.manifest)
     elif a.command == "train-twice":
         tables = (folder.train_twice(spark, cfg, a.max_images),)
-    elif a.command == "run-all":
-        folder.run(spark, cfg, spark.read.parquet(a.embeddings) if a.embeddings else None)
-        tables = folder.report(spark, cfg)
+    elif a.command in ("run", "run-all"):
+        vectors = spark.read.parquet(a.embeddings) if a.embeddings else None
+        if a.command == "run":
+            folder.run_stage(spark, cfg, a.stage, vectors, a.force)
+            tables = (spark.read.parquet(f"{cfg.io.output_dir}/stage{a.stage}/metrics"),)
+        else:
+            folder.run(spark, cfg, vectors, a.force)
+            tables = folder.report(spark, cfg)
     elif a.command == "plant":
         m = planted.plant(spark, a.source or cfg.io.image_root, a.out, a.exact, a.near, a.semantic, cfg.seed)
         print(json.dumps(m["summary"]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,42 +76,107 @@ def profile(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame]:
     return exact.profile(k), exact.histogram(k)
 
 
-def run(spark: SparkSession, cfg: Config, embeddings: DataFrame | None = None) -> None:
-    """All stages; writes survivors, pairs, groups, members, metrics and leakage as Parquet under io.output_dir.
+def stored(spark: SparkSession, cfg: Config, name: str) -> DataFrame | None:
+    """What a run has written under name; None where it has not."""
+    try:
+        return spark.read.parquet(f"{cfg.io.output_dir}/{name}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def needed(spark: SparkSession, cfg: Config, name: str) -> DataFrame:
+    out = stored(spark, cfg, name)
+    if out is None:
+        raise FileNotFoundError(f"{cfg.io.output_dir}/{name}: run the stages before first")
+    return out
+
+
+def save(cfg: Config, df: DataFrame, name: str) -> None:
+    df.write.mode("overwrite").parquet(f"{cfg.io.output_dir}/{name}")
+
+
+def by_id(df: DataFrame, path: str, ids: DataFrame) -> DataFrame:
+    """df with the item_id of its column path, which becomes the column path."""
+    return df.withColumn("path", one_form(path)).drop(*({"item_id"} & set(df.columns))).join(ids, "path")
+
+
+def pairs(spark: SparkSession, cfg: Config) -> DataFrame:
+    """src, dst (paths): the pairs of stages 2 and 3, as written."""
+    return needed(spark, cfg, "stage2/pairs").unionByName(needed(spark, cfg, "stage3/pairs"))
+
+
+def edges_by_id(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    a, b = (ids.select(F.col("path").alias(e), F.col("item_id").alias(f"{e}_id")) for e in ("src", "dst"))
+    return edges.join(a, "src").join(b, "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
+
+
+def run_stage(spark: SparkSession, cfg: Config, stage: int, embeddings: DataFrame | None = None, force: bool = False) -> bool:
+    """One stage over what the stages before have written; writes survivors, pairs (stages 2 and 3) and, last, metrics as Parquet
+    under io.output_dir. A stage whose metrics are there is not run again unless force is set. Returns whether it ran.
     embeddings: path, embedding; without it the configured backbone makes them."""
+    if not force and stored(spark, cfg, f"stage{stage}/metrics") is not None:
+        return False
     on_workers(spark)
-    root, out = cfg.io.image_root, cfg.io.output_dir
+    root = cfg.io.image_root
+    ids = number(spark, root)
+    if stage == 1:
+        r = cascade.stage1(digests(spark, root, ids).withColumnRenamed("key", "content"), cfg)
+    else:
+        before = {2: 1, 3: 2, 4: 1}[stage]  # resolution takes up the pairs of stages 2 and 3 over what stage 1 kept
+        items = cut(needed(spark, cfg, f"stage{before}/survivors").join(ids, "path").select("item_id"), "items")
+        if stage == 2:
+            codes = None
+            if cfg.stage2.enabled:
+                codes = cut(by_id(hash_images(decode_images(spark, root), cfg.stage2.hashes, cfg.stage2.hash_size), "item_id", ids).select("item_id", "algo", "code"), "codes")
+            r = cascade.stage2(items, codes, cfg)
+        else:
+            vecs = None
+            if cfg.stage3.enabled and (stage == 3 or cfg.stage4.keep_strategy == "keep_central"):
+                vecs = cut(by_id(embed(decode_images(spark, root), cfg.stage3.backbone) if embeddings is None else embeddings, "path", ids).select("item_id", "embedding"), "vectors")
+            if stage == 3:
+                r = cascade.stage3(items, vecs, cfg)
+            else:
+                ann = spark.createDataFrame([], EMPTY)
+                if cfg.io.annotations:
+                    named = annotate_items(ids.select(F.col("path").alias("item_id")), read_annotations(spark, cfg.io.annotation_format, cfg.io.annotations)).where("image_id is not null")
+                    ann = by_id(named, "item_id", ids).select("item_id", "num_boxes", "num_classes", "area", "class_ids")
+                r, _ = cascade.stage4(items, edges_by_id(pairs(spark, cfg), ids), ann, cfg, vecs)
+    save(cfg, r.survivors.join(ids, "item_id").select("path"), f"stage{stage}/survivors")
+    if stage in (2, 3):
+        edges = r.edges if r.edges is not None else spark.createDataFrame([], "src long, dst long")
+        a, b = (ids.select(F.col("item_id").alias(e), F.col("path").alias(p)) for e, p in (("src", "a"), ("dst", "b")))
+        save(cfg, edges.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")), f"stage{stage}/pairs")
+    shape = "stage int, items_in long, items_removed long, items_out long, seconds double"
+    save(cfg, spark.createDataFrame([tuple(r.metrics[c.split()[0]] for c in shape.split(", "))], shape).coalesce(1), f"stage{stage}/metrics")
+    return True
+
+
+def finish(spark: SparkSession, cfg: Config) -> None:
+    """Writes groups, removed, metrics and leakage from what the four stages have written."""
+    root = cfg.io.image_root
     ids = number(spark, root)
     keys = cut(digests(spark, root, ids), "digests")
-    images = decode_images(spark, root)
-    by_id = lambda df, path: df.withColumn("path", one_form(path)).drop(*({"item_id"} & set(df.columns))).join(ids, "path")
-    codes = cut(by_id(hash_images(images, cfg.stage2.hashes, cfg.stage2.hash_size), "item_id").select("item_id", "algo", "code"), "codes") if cfg.stage2.enabled else None
-    vecs = cut(by_id(embed(images, cfg.stage3.backbone) if embeddings is None else embeddings, "path").select("item_id", "embedding"), "vectors") if cfg.stage3.enabled else None
-    ann = spark.createDataFrame([], EMPTY)
-    if cfg.io.annotations:
-        named = annotate_items(ids.select(F.col("path").alias("item_id")), read_annotations(spark, cfg.io.annotation_format, cfg.io.annotations)).where("image_id is not null")
-        ann = by_id(named, "item_id").select("item_id", "num_boxes", "num_classes", "area", "class_ids")
-    results, _ = cascade.run(keys.withColumnRenamed("key", "content"), codes, vecs, ann, cfg)
-    save = lambda df, name: df.write.mode("overwrite").parquet(f"{out}/{name}")
-    ends = lambda e: e.join(ids.select(F.col("item_id").alias("src"), F.col("path").alias("a")), "src").join(ids.select(F.col("item_id").alias("dst"), F.col("path").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     groups = keys.join(keys.groupBy("key").count().where("count > 1"), "key").select(F.lit(1).alias("stage"), F.col("key").alias("group"), "item_id")
-    for r in results:
-        save(r.survivors.join(ids, "item_id").select("path"), f"stage{r.stage}/survivors")
-        if r.stage in (2, 3) and r.edges is not None:
-            save(ends(r.edges), f"stage{r.stage}/pairs")
-            cc = connected_components(r.edges)
-            groups = groups.unionByName(cc.select(F.lit(r.stage).alias("stage"), F.col("component").cast("string").alias("group"), F.col("node").alias("item_id")))
-    save(groups.join(ids, "item_id").select("stage", "group", basename(F.col("path")).alias("name")), "groups")
-    gone = ids.join(results[3].survivors, "item_id", "left_anti")
-    save(gone.select("path", basename(F.col("path")).alias("name")), "removed")
-    shape = "stage int, items_in long, items_removed long, items_out long, seconds double"
-    save(spark.createDataFrame([tuple(r.metrics[c.split()[0]] for c in shape.split(", ")) for r in results], shape), "metrics")
+    for k in (2, 3):
+        cc = connected_components(cut(edges_by_id(needed(spark, cfg, f"stage{k}/pairs"), ids), f"pairs{k}"))
+        groups = groups.unionByName(cc.select(F.lit(k).alias("stage"), F.col("component").cast("string").alias("group"), F.col("node").alias("item_id")))
+    save(cfg, groups.join(ids, "item_id").select("stage", "group", basename(F.col("path")).alias("name")), "groups")
+    gone = ids.join(needed(spark, cfg, "stage4/survivors"), "path", "left_anti")
+    save(cfg, gone.select("path", basename(F.col("path")).alias("name")), "removed")
+    metrics = [needed(spark, cfg, f"stage{k}/metrics") for k in (1, 2, 3, 4)]
+    save(cfg, metrics[0].unionByName(metrics[1]).unionByName(metrics[2]).unionByName(metrics[3]), "metrics")
     if cfg.leakage.enabled:
-        c = cfg.leakage
-        items = splits(results[0].survivors.join(ids, "item_id"), cfg)
-        edges = [r.edges for r in results[1:3] if r.edges is not None]
-        both = ends(edges[0].unionByName(edges[-1]) if edges else spark.createDataFrame([], "src long, dst long"))
-        save(cascade.leakage_report(items.where("split is not null"), both, cfg)[0], "leakage")
+        items = splits(needed(spark, cfg, "stage1/survivors"), cfg)
+        save(cfg, cascade.leakage_report(items.where("split is not null"), pairs(spark, cfg), cfg)[0], "leakage")
+
+
+def run(spark: SparkSession, cfg: Config, embeddings: DataFrame | None = None, force: bool = False) -> None:
+    """All stages, those already written left out unless force is set, and what is read from them."""
+    for stage in (1, 2, 3, 4):
+        run_stage(spark, cfg, stage, embeddings, force)
+    finish(spark, cfg)
 
 
 def splits(paths: DataFrame, cfg: Config) -> DataFrame:

@@ -38,6 +38,10 @@ def test_plant_run_score(spark, photos, tmp_path, capsys):
     got = {r.tier: r for r in recall.collect()}
     assert (got["exact"].caught, got["exact"].on_time, got["near"].caught) == (2, 2, 2)
     assert precision.first().precision == 1.0
+    assert not folder.run_stage(spark, cfg, 2) and folder.run_stage(spark, cfg, 2, force=True)
+    with pytest.raises(FileNotFoundError):
+        folder.run_stage(spark, config.load(None, [*sets[1:4:2], f"io.output_dir={tmp_path}/none"]), 2)
+    main([*sets, "run", "--stage", "4", "--force"], spark)
     for command in (["report"], ["profile"], ["score", "--manifest", f"{tmp_path}/a/plant_manifest.json"], ["show-config"]):
         main([*sets, *command], spark)
     assert "initial_images" in capsys.readouterr().out
