@@ -2,8 +2,8 @@
 
 Symbols: the `head` most frequent tokens, and for all others 2-byte-suffix classes. Context vectors of the two preceding
 symbols (one table per place) add up to a prediction r; a symbol w has the log-score r . q_w + b_w. Training is numpy AdaGrad on
-noise-contrastive estimation: every partition of the training texts trains on a fixed share of its tokens (so what is
-gathered grows with the corpus), and parameters are averaged over the partitions, weighted by tokens, in `rounds` rounds.
+noise-contrastive estimation: every partition of the training texts trains on all of its tokens (so what is gathered grows
+with the corpus), and parameters are averaged over the partitions, weighted by tokens, in `rounds` rounds.
 Scoring normalises: for the distinct contexts of a batch, one matrix product gives the scores of all symbols, and a
 log-sum-exp their normaliser; a token outside the head has its class's probability times its own share in the class,
 (c + 0.1) / (sum of c + 0.1 over the class + 0.1 for an unseen one), so the probabilities of all words add up to one.
@@ -31,7 +31,6 @@ CLASSES = 128
 KNOWN = 200_000
 DIM = 24
 NOISE = 8
-SHARE = 8  # one token in SHARE is trained on
 ROUNDS = 1
 END_HASH = np.int64(mix(np.array([0x1234567], np.uint64)).view(np.int64)[0])
 _LN10 = float(np.log(10.0))
@@ -166,7 +165,7 @@ def new_params(n: int, noise: np.ndarray, dim: int = DIM, seed: int = 5) -> dict
     return {"r1": draw(), "r2": draw(), "q": draw(), "b": np.log(np.append(noise, 1e-9) + 1e-9).astype(np.float32)}
 
 
-def train(docs: DataFrame, heads: np.ndarray, noise: np.ndarray, rounds: int = ROUNDS, share: int = SHARE) -> dict:
+def train(docs: DataFrame, heads: np.ndarray, noise: np.ndarray, rounds: int = ROUNDS) -> dict:
     """Averaged parameters. They are summed on executors by row; the driver gets one model."""
     spark = docs.sparkSession
     n = len(noise)
@@ -185,7 +184,7 @@ def train(docs: DataFrame, heads: np.ndarray, noise: np.ndarray, rounds: int = R
                 h, c, bound = tokens(Texts(s.column("text"), lower=True))
                 sym = symbols.of(h, c)
                 one, two = contexts(sym, bound, n)
-                at = rng.permutation(len(sym))[: max(1, len(sym) // share)]
+                at = rng.permutation(len(sym))
                 train_nce(sym[at], one[at], two[at], p, state, noise, rng)
                 seen += len(at)
             if seen:

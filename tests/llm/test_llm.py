@@ -157,6 +157,22 @@ def test_language_model(docs, empty):
     assert score(empty).count() == 0
 
 
+def test_language_model_trains_on_every_token(spark):
+    import pyarrow as pa
+
+    from karst.llm.arrowtext import Texts
+    from karst.llm.lbl_lm import CLASSES, Symbols, new_params, tokens, train
+
+    text = " ".join(f"w{i}" for i in range(200))
+    heads = np.unique(tokens(Texts(pa.array([text]), lower=True))[0]).view(np.int64)
+    n = Symbols(heads).n
+    noise = np.full(n, 1 / n)
+    assert n == 201 + CLASSES
+    before, after = new_params(n, noise), train(spark.createDataFrame([(text,)], "text string"), heads, noise)
+    moved = (np.abs(before["r1"] - after["r1"]) > 1e-5).any(axis=1)
+    assert moved.sum() == 201  # each word, and the start, comes before one token
+
+
 def test_log_probs_are_normalised():
     from karst.llm.lbl_lm import log_probs, new_params
 
