@@ -71,6 +71,21 @@ def test_approximate_indexes(spark):
         vectors.pq_knn(v, 1, 4, 2, 7)
 
 
+def test_registered_approximate_queries_recall(spark):
+    import numpy as np
+
+    d = "/root/testdata/sf0.1"
+    t = spark.read.parquet(d + "/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").toArrow()
+    ids, x = t.column("vec_id").to_numpy(), vectors.matrix(t.column("embedding").combine_chunks())
+    sim = x @ x.T
+    want = {(int(ids[i]), int(ids[j])) for i, j in np.argwhere(np.triu(sim, 1) >= catalog.COSINE)}
+    got = _pairs(catalog.queries()["ivfflat_pairs"](spark, d))
+    assert got <= want and len(got) >= 0.9 * len(want)
+    top = {(int(q), int(v)) for q, best in zip(ids, ids[np.argsort(-sim, axis=1, kind="stable")[:, :10]], strict=True) for v in best}
+    got = {(r.q, r.v) for r in catalog.queries()["ivfpq_rerank"](spark, d).collect()}
+    assert len(got & top) >= 0.9 * len(top)
+
+
 def test_resolve(spark):
     cl = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "item_id string, component long")
     ann = spark.createDataFrame([("a", 1, 1, 10, [1]), ("b", 5, 2, 5, [1, 2])], "item_id string, num_boxes long, num_classes long, area long, class_ids array<long>")
