@@ -156,7 +156,7 @@ _COS_P = _COS + f"p AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM n a JOIN n
 
 
 def _cosine(spark, d):
-    return vectors.flagged_pairs(vectors.flat_knn(_vectors(spark, d), 100, COSINE), COSINE)
+    return vectors.range_join(_vectors(spark, d), COSINE)
 
 
 @_query(_COS_P + " SELECT src, dst FROM p")
@@ -182,7 +182,7 @@ def ivfpq_rerank(spark, d):
 
 
 def _semantic(spark, d):
-    return cut(with_singletons(_vectors(spark, d).select(F.col("vec_id").alias("item_id")), _cosine(spark, d)), "semantic")
+    return cut(with_singletons(_vectors(spark, d).select(F.col("vec_id").alias("item_id")), vectors.linking_pairs(_vectors(spark, d), COSINE)), "semantic")
 
 
 _SEM = _COS_P + ", " + _components_sql("p")

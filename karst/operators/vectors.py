@@ -65,6 +65,37 @@ def flat_knn(vectors: DataFrame, k: int, least: float | None = None) -> DataFram
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def range_join(vectors: DataFrame, least: float) -> DataFrame:
+    """src < dst: every pair of vectors with an inner product of unit vectors of at least `least`, however many a vector has."""
+    b, n = blocks(vectors)
+    b = cut(b, "vector-blocks")
+    left = b.select(F.col("block").alias("i"), F.col("rows").alias("l")).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(n - 1))))
+    pairs = left.join(b.select(F.col("block").alias("j"), F.col("rows").alias("r")), "j").repartition(n * (n + 1) // 2, "i", "j")
+
+    def run(batches):
+        for rb in batches:
+            for i, j, l, r in zip(rb.column("i").to_pylist(), rb.column("j").to_pylist(), rb.column("l"), rb.column("r"), strict=True):
+                l, r = l.values, r.values
+                q, v = l.field("vec_id").to_numpy(), r.field("vec_id").to_numpy()
+                a, c = matrix(l.field("embedding")), matrix(r.field("embedding"))
+                for at in range(0, len(q), 512):  # bounds the pairs held at once
+                    x, y = np.nonzero(a[at : at + 512] @ c.T >= least)
+                    s, d = q[at + x], v[y]
+                    if i == j:  # both orders are here
+                        s, d = s[s < d], d[s < d]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, d)), pa.array(np.maximum(s, d))], ["src", "dst"])
+
+    return pairs.select("i", "j", "l", "r").mapInArrow(run, "src long, dst long")
+
+
+def linking_pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """Pairs with the components of range_join's (least <= 1): equal vectors are linked to the first of them only."""
+    v = vectors.where("embedding is not null and exists(embedding, x -> x <> 0)").select("vec_id", "embedding")
+    first = cut(v.groupBy("embedding").agg(F.min("vec_id").alias("src")), "distinct-vectors")
+    copies = v.withColumnRenamed("vec_id", "dst").join(first, "embedding").where("src < dst").select("src", "dst")
+    return range_join(first.withColumnRenamed("src", "vec_id"), least).union(copies)
+
+
 def flagged_pairs(knn: DataFrame, threshold: float) -> DataFrame:
     """Unordered pairs of neighbours at or above the threshold."""
     near = knn.where((F.col("q") != F.col("v")) & (F.col("sim") >= threshold))

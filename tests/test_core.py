@@ -71,6 +71,18 @@ def test_approximate_indexes(spark):
         vectors.pq_knn(v, 1, 4, 2, 7)
 
 
+def test_cosine_queries_keep_every_pair(spark, tmp_path, monkeypatch):
+    e = [[1.0, 0.001 * (i // 2)] for i in range(240)] + [[-1.0, 0.0], [0.0, 0.0], [0.0, 0.0], None]
+    spark.createDataFrame([(i, x, 0) for i, x in enumerate(e)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = {(i, j) for j in range(240) for i in range(j)}
+    for size in (4096, 50):  # one block, and several
+        monkeypatch.setattr(vectors.blocks, "__defaults__", (size,))
+        got = catalog.queries()["cosine_pairs_flat"](spark, str(tmp_path)).collect()
+        assert len(got) == len(want) and {(r.src, r.dst) for r in got} == want
+        comp = {r.item_id: r.component for r in catalog.queries()["semantic_components"](spark, str(tmp_path)).collect()}
+        assert comp == {i: 0 if i < 240 else i for i in range(244)}
+
+
 def test_registered_approximate_queries_recall(spark):
     import numpy as np
 
