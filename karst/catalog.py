@@ -116,7 +116,10 @@ def hamming_pivot(spark, d):
 
 def _both(spark, d, mode, t):
     c = _codes(spark, d)
-    return hamming.combine([hamming.multi_index(c.where(F.col("algo") == a).select("item_id", "code"), t) for a in ("phash", "dhash")], mode)
+    algos = ["phash", "dhash"]
+    if mode == "all":
+        return hamming.pairs_on_all(c, algos, t)
+    return hamming.combine([hamming.multi_index(c.where(F.col("algo") == a).select("item_id", "code"), t) for a in algos], mode)
 
 
 @_query(_CODES + _pairs_sql(1, BITS) + ", " + _pairs_sql(2, BITS) + " SELECT src, dst FROM p1 UNION SELECT src, dst FROM p2")
@@ -138,7 +141,7 @@ def _vectors(spark, d):
 
 
 def _near(spark, d):
-    return with_singletons(_vectors(spark, d).select(F.col("vec_id").alias("item_id")), hamming.multi_index(_signs(spark, d), BITS))
+    return with_singletons(_vectors(spark, d).select(F.col("vec_id").alias("item_id")), hamming.linking_pairs(_signs(spark, d), BITS))
 
 
 @_query(_CODES + _pairs_sql(1, BITS) + ", " + _components_sql("p1") + "SELECT item_id, component FROM cc")

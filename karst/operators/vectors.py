@@ -1,7 +1,7 @@
 """Nearest-neighbour joins over embeddings: flat (exact), inverted lists, product-quantised with exact re-ranking.
 
-Every plan multiplies blocks of vectors in Arrow batches. Blocks bound what a task holds; a block of queries meets each block
-of vectors in a task of its own and leaves its best k, so no task ever sees all vectors and no single row is a cross join.
+Every plan multiplies blocks of vectors in Arrow batches. Blocks bound what a task holds; two blocks meet in a task of their
+own, which leaves the best k of either side, so no task ever sees all vectors.
 """
 
 from __future__ import annotations
@@ -13,9 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from karst.operators.blocks import Forest, block_pairs, meet, meetings, packed
 from karst.sources.shared import cut
 
 FLAT_MOST, IVF_MOST = 1_000_000, 10_000_000
+LEAST_BLOCK, BLOCK_BYTES = 2048, 4 << 20
+STRIP = 256
 BLOCK = 4096
 PAIR = pa.schema([("q", pa.int64()), ("v", pa.int64()), ("sim", pa.float64())])
 KIND = "q long, v long, sim double"
@@ -29,71 +32,82 @@ def matrix(column: pa.Array) -> np.ndarray:
     return m / np.where(norm == 0, 1.0, norm)
 
 
-def _best(q_ids, v_ids, sim, k: int, least: float | None, same_kind: bool = True):
-    """The k best of each row of sim (ties: smaller v), itself excluded when asked, not below `least`."""
-    order = np.lexsort((np.broadcast_to(v_ids, sim.shape), -sim), axis=1)[:, :k] if k < sim.shape[1] else np.lexsort((np.broadcast_to(v_ids, sim.shape), -sim), axis=1)
-    s = np.take_along_axis(sim, order, axis=1)
-    q, v = np.repeat(q_ids, order.shape[1]), v_ids[order].reshape(-1)
-    s = s.reshape(-1)
-    keep = np.isfinite(s) if least is None else s >= least
-    return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(v[keep]), pa.array(s[keep])], schema=PAIR)
+def _best(q_ids, v_ids, sim, k: int, least: float | None) -> pa.RecordBatch:
+    """The k best of each row of sim (ties: smaller v), not below `least`."""
+    mask = np.isfinite(sim) if least is None else sim >= least
+    if k < sim.shape[1]:
+        mask &= sim >= np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k, None]
+    i, j = np.nonzero(mask)
+    s, q, v = sim[i, j], q_ids[i], v_ids[j]
+    order = np.lexsort((v, -s, i))
+    i = i[order]
+    order = order[np.arange(len(i)) - np.searchsorted(i, i) < k]
+    return pa.RecordBatch.from_arrays([pa.array(q[order]), pa.array(v[order]), pa.array(s[order])], schema=PAIR)
 
 
-def blocks(vectors: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
-    """block, ids, data: vectors packed in rows of about `size`, and their number."""
-    n = max(1, math.ceil(vectors.count() / size))
-    b = vectors.where("embedding is not null").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    return b.groupBy("block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("rows")), n
+def blocks(vectors: DataFrame, size: int | None = None) -> DataFrame:
+    """Blocks of all vectors: enough for all cores, and of at most about BLOCK_BYTES, since each travels once for every other."""
+    v = vectors.where("embedding is not null").select("vec_id", "embedding")
+    n = v.count()
+    if size is None:
+        first = v.select(F.size("embedding")).first()
+        size = max(LEAST_BLOCK, min(BLOCK_BYTES // (4 * max(first[0] if first else 1, 1)), n // 12))
+    return packed(v.withColumn("cell", F.lit(0).cast("long")), size, "vec_id", n=n)
 
 
 def flat_knn(vectors: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """q, v, sim: exact k best by inner product of unit vectors, the query itself among them. vectors: vec_id, embedding."""
-    b, n = blocks(vectors)
-    b = cut(b, "vector-blocks")
-    left = b.select(F.col("block").alias("i"), F.col("rows").alias("l")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = left.join(b.select(F.col("block").alias("j"), F.col("rows").alias("r")), "j").repartition(max(n * n, 1), "i", "j")
+    """q, v, sim, rank: exact k best by inner product of unit vectors, the query itself among them. vectors: vec_id, embedding."""
 
     def run(batches):
-        for rb in batches:
-            for l, r in zip(rb.column("l"), rb.column("r"), strict=True):
-                l, r = l.values, r.values
-                a, c = matrix(l.field("embedding")), matrix(r.field("embedding"))
-                yield _best(l.field("vec_id").to_numpy(), r.field("vec_id").to_numpy(), a @ c.T, k, least)
-
-    near = pairs.select("l", "r").mapInArrow(run, KIND)
+        for _, same, l, r in block_pairs(batches):
+            q, v = l.field("vec_id").to_numpy(), r.field("vec_id").to_numpy()
+            a, c = matrix(l.field("embedding")), matrix(r.field("embedding"))
+            for x, y, m, n in ((q, v, a, c), (v, q, c, a))[: 1 if same else 2]:
+                for at in range(0, len(x), STRIP):
+                    yield _best(x[at : at + STRIP], y, m[at : at + STRIP] @ n.T, k, least)
+
+    b = blocks(vectors)
+    near = meet(b, meetings(b), run, KIND)
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "v")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def range_join(vectors: DataFrame, least: float) -> DataFrame:
-    """src < dst: every pair of vectors with an inner product of unit vectors of at least `least`, however many a vector has."""
-    b, n = blocks(vectors)
-    b = cut(b, "vector-blocks")
-    left = b.select(F.col("block").alias("i"), F.col("rows").alias("l")).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(n - 1))))
-    pairs = left.join(b.select(F.col("block").alias("j"), F.col("rows").alias("r")), "j").repartition(n * (n + 1) // 2, "i", "j")
+def range_join(vectors: DataFrame, least: float, link: bool = False) -> DataFrame:
+    """src < dst: every pair of vectors with an inner product of unit vectors of at least `least`, however many a vector has.
+    With link, a spanning forest of the pairs of each two blocks instead."""
 
     def run(batches):
-        for rb in batches:
-            for i, j, l, r in zip(rb.column("i").to_pylist(), rb.column("j").to_pylist(), rb.column("l"), rb.column("r"), strict=True):
-                l, r = l.values, r.values
-                q, v = l.field("vec_id").to_numpy(), r.field("vec_id").to_numpy()
-                a, c = matrix(l.field("embedding")), matrix(r.field("embedding"))
-                for at in range(0, len(q), 512):  # bounds the pairs held at once
-                    x, y = np.nonzero(a[at : at + 512] @ c.T >= least)
-                    s, d = q[at + x], v[y]
-                    if i == j:  # both orders are here
-                        s, d = s[s < d], d[s < d]
+        for _, same, l, r in block_pairs(batches):
+            q, v = l.field("vec_id").to_numpy(), r.field("vec_id").to_numpy()
+            a, c = matrix(l.field("embedding")), matrix(r.field("embedding"))
+            n = 0 if same else len(q)
+            forest = Forest(n + len(v))
+            for at in range(0, len(q), STRIP):  # bounds the pairs held at once
+                x, y = np.nonzero(a[at : at + STRIP] @ c.T >= least)
+                x += at
+                if same:  # both orders are here
+                    x, y = x[x < y], y[x < y]
+                if link:
+                    forest.add(x, y + n)
+                else:
+                    s, d = q[x], v[y]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, d)), pa.array(np.maximum(s, d))], ["src", "dst"])
+            if link:
+                both = v if same else np.concatenate([q, v])
+                s, d = (both[e] for e in forest.edges())
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, d)), pa.array(np.maximum(s, d))], ["src", "dst"])
 
-    return pairs.select("i", "j", "l", "r").mapInArrow(run, "src long, dst long")
+    b = blocks(vectors)
+    return meet(b, meetings(b), run, "src long, dst long")
 
 
 def linking_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """Pairs with the components of range_join's (least <= 1): equal vectors are linked to the first of them only."""
+    """Edges with the components of range_join's (least <= 1): equal vectors are linked to the first of them only, and a pair of
+    blocks gives a spanning forest of its pairs."""
     v = vectors.where("embedding is not null and exists(embedding, x -> x <> 0)").select("vec_id", "embedding")
     first = cut(v.groupBy("embedding").agg(F.min("vec_id").alias("src")), "distinct-vectors")
     copies = v.withColumnRenamed("vec_id", "dst").join(first, "embedding").where("src < dst").select("src", "dst")
-    return range_join(first.withColumnRenamed("src", "vec_id"), least).union(copies)
+    return range_join(first.withColumnRenamed("src", "vec_id"), least, link=True).union(copies)
 
 
 def flagged_pairs(knn: DataFrame, threshold: float) -> DataFrame:

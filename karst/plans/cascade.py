@@ -51,8 +51,11 @@ def stage2(items: DataFrame, codes: DataFrame, cfg: Config) -> StageResult:
         return _result(2, items, items, began=began)
     codes = codes.join(items, "item_id", "left_semi")
     name = hamming.choose_strategy(c.search_strategy, items.count())
-    sets = [hamming.STRATEGIES[name](codes.where(F.col("algo") == a).select("item_id", "code"), c.hamming_threshold) for a in c.hashes]
-    edges = cut(hamming.combine(sets, c.combine), "stage2-edges")
+    if c.combine == "all" and name == "multiindex":
+        found = hamming.pairs_on_all(codes, c.hashes, c.hamming_threshold)
+    else:
+        found = hamming.combine([hamming.STRATEGIES[name](codes.where(F.col("algo") == a).select("item_id", "code"), c.hamming_threshold) for a in c.hashes], c.combine)
+    edges = cut(found, "stage2-edges")
     return _result(2, items, _keep_least(items, edges), edges, began, search_strategy=name, n_flagged_pairs=edges.count())
 
 
@@ -66,7 +69,7 @@ def stage3(items: DataFrame, embeddings: DataFrame, cfg: Config) -> StageResult:
     first = v.select(F.size("embedding")).first()
     index = vectors.select_index(n, first[0] if first else 1, c.index_type, c.ram_budget_gb)
     nlist = c.nlist if c.index_type != "auto" else vectors.auto_nlist(n)
-    knn = vectors.search(v, max(1, min(n, 100)), index, nlist, c.nprobe, c.pq_m, c.pq_nbits, c.rerank_k)
+    knn = vectors.search(v, max(1, min(n, 100)), index, nlist, c.nprobe, c.pq_m, c.pq_nbits, c.rerank_k, c.cosine_threshold)
     edges = cut(vectors.flagged_pairs(knn, c.cosine_threshold), "stage3-edges")
     return _result(3, items, _keep_least(items, edges), edges, began, index_type=index, n_flagged_pairs=edges.count())
 

@@ -66,7 +66,8 @@ def on_workers(spark: SparkSession) -> None:
     """Make this package importable in Python workers that do not have it on their path."""
     import karst
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # texts can be long; workers cut batches by bytes
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # texts can be long
     root = os.path.dirname(os.path.dirname(os.path.abspath(karst.__file__)))
     sc = spark.sparkContext
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_karst_sent", False):

@@ -29,7 +29,7 @@ def test_exact(spark):
 
 
 @pytest.mark.parametrize("t", [0, 4, 12])
-def test_hamming_strategies_agree(spark, t):
+def test_hamming_strategies_agree(spark, monkeypatch, t):
     rng = random.Random(t)
     codes = [rng.getrandbits(64) for _ in range(120)]
     for c in codes[:30]:
@@ -40,10 +40,21 @@ def test_hamming_strategies_agree(spark, t):
     want = {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if bin(codes[i] ^ codes[j]).count("1") <= t}
     for f in hamming.STRATEGIES.values():
         assert _pairs(f(rows, t)) == want
+    monkeypatch.setattr(hamming, "block_size", lambda n: 20)  # many blocks in a cell
+    for chunks in (None, hamming.ALL, hamming.split_bits(3, t), hamming.split_bits(max(t + 1, 2), t)):
+        got = [(r.src, r.dst) for r in hamming.multi_index(rows, t, chunks=chunks).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert _pairs(hamming.pivot(rows, t)) == want
+    cc = {r.item_id: r.component for r in with_singletons(rows.select("item_id"), hamming.linking_pairs(rows, t)).collect()}
+    assert cc == {r.item_id: r.component for r in with_singletons(rows.select("item_id"), spark.createDataFrame(sorted(want) or [(0, 0)], "src long, dst long")).collect()}
+    both = rows.selectExpr("item_id", "'a' algo", "code").union(rows.selectExpr("item_id", "'b' algo", "shiftleft(code, 1) code"))
+    also = {(i, j) for i, j in want if bin((codes[i] ^ codes[j]) & ((1 << 63) - 1)).count("1") <= t}
+    assert _pairs(hamming.pairs_on_all(both, ["a", "b"], t)) == also
 
 
 def test_choices():
-    assert hamming.choose_strategy("auto", 5000) == "brute_force" and hamming.choose_strategy("auto", 5001) == "multi_index"
+    assert hamming.choose_strategy("auto", 5000) == "bruteforce" and hamming.choose_strategy("auto", 5001) == "multiindex"
+    assert hamming.choose_strategy("bk_tree", 1) == "bktree" == hamming.choose_strategy("bktree", 1)
     with pytest.raises(ValueError):
         hamming.choose_strategy("x", 1)
     cases = [((50_000, 768, "auto", 24), "flat"), ((2_000_000, 768, "auto", 64), "ivfflat"), ((20_000_000, 768, "auto", 64), "ivfpq"), ((500_000, 768, "auto", 0.1), "ivfpq"), ((20_000_000, 768, "flat", 24), "flat")]
@@ -75,7 +86,7 @@ def test_cosine_queries_keep_every_pair(spark, tmp_path, monkeypatch):
     e = [[1.0, 0.001 * (i // 2)] for i in range(240)] + [[-1.0, 0.0], [0.0, 0.0], [0.0, 0.0], None]
     spark.createDataFrame([(i, x, 0) for i, x in enumerate(e)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     want = {(i, j) for j in range(240) for i in range(j)}
-    for size in (4096, 50):  # one block, and several
+    for size in (None, 50):  # one block, and several
         monkeypatch.setattr(vectors.blocks, "__defaults__", (size,))
         got = catalog.queries()["cosine_pairs_flat"](spark, str(tmp_path)).collect()
         assert len(got) == len(want) and {(r.src, r.dst) for r in got} == want
