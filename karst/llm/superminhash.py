@@ -35,7 +35,7 @@ PLACES = 256
 ROWS = 5
 BANDS = 25
 REPS = 1_000_000  # units whose texts are found by a broadcast of 24 bytes each; more of them by a shuffle
-_STEP = 24  # bits of r; a value is step << 25 | r
+_STEP = 24  # bits of r; a value is step << 24 | r
 
 
 def shingle_sets(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -98,19 +98,22 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, th (the text's hash), n_shingles, u (the set's 64-bit name, null if empty), sig."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("u", pa.int64()), ("sig", pa.binary())])
+    """doc_id, th (the text's hash), n_shingles, u (the set's 64-bit name, null if empty), bands, sig (a byte of each place)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("u", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches):
         for s in slices(batches, most=SLICE // 2):
             g, bound = shingle_sets(Texts(s.column("text"), lower=True))
             size = np.diff(bound)
             sig = signatures(g, bound)
+            n = len(sig)
             names, empty = unit_names(g, bound), size == 0
-            blob = pa.Array.from_buffers(pa.binary(PLACES * 4), len(sig), [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary()) if len(sig) else pa.array([], pa.binary())
-            yield batch(schema, s.column("doc_id").cast(pa.int64()), s.column("th"), size.astype(np.int64), pa.array(names, mask=empty), blob)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(band_keys(sig).view(np.int64).reshape(-1)))
+            low = (sig & np.uint32(255)).astype(np.uint8)
+            blob = pa.Array.from_buffers(pa.binary(PLACES), n, [None, pa.py_buffer(low.tobytes())]).cast(pa.binary()) if n else pa.array([], pa.binary())
+            yield batch(schema, s.column("doc_id").cast(pa.int64()), s.column("th"), size.astype(np.int64), pa.array(names, mask=empty), bands, blob)
 
-    return spread(docs).select("doc_id", text_hash().alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, u long, sig binary")
+    return spread(docs).select("doc_id", text_hash().alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, u long, bands array<long>, sig binary")
 
 
 def unit_names(g: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -119,20 +122,8 @@ def unit_names(g: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return mix(total[bound[1:]] - total[bound[:-1]] + np.diff(bound).astype(np.uint64) * U(0xA0761D6478BD642F)).view(np.int64)
 
 
-def _bands(units: DataFrame) -> DataFrame:
-    schema = pa.schema([("b", pa.int64()), ("u", pa.int64())])
-
-    def run(batches):
-        for rb in batches:
-            if rb.num_rows:
-                sig = np.frombuffer(b"".join(rb.column("sig").to_pylist()), np.uint32).reshape(-1, PLACES)
-                yield batch(schema, band_keys(sig).view(np.int64).reshape(-1), np.repeat(rb.column("u").to_numpy(), BANDS))
-
-    return units.select("u", "sig").mapInArrow(run, "b long, u long")
-
-
 def _likely(pairs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
-    """Pairs that sizes and signatures do not rule out."""
+    """Pairs that sizes and signatures do not rule out. Bytes of places that differ agree by chance, which only adds pairs."""
     a, b = units.select(F.col("u").alias("x"), F.col("n").alias("nx"), F.col("sig").alias("sx")), units.select(F.col("u").alias("y"), F.col("n").alias("ny"), F.col("sig").alias("sy"))
     j = percent / 100
     least = int(PLACES * (j - 5 * (j * (1 - j) / PLACES) ** 0.5))
@@ -140,7 +131,7 @@ def _likely(pairs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for rb in batches:
             if rb.num_rows:
-                s, t = (np.frombuffer(b"".join(rb.column(c).to_pylist()), np.uint32).reshape(-1, PLACES) for c in ("sx", "sy"))
+                s, t = (np.frombuffer(b"".join(rb.column(c).to_pylist()), np.uint8).reshape(-1, PLACES) for c in ("sx", "sy"))
                 yield pa.RecordBatch.from_arrays([rb.column("x"), rb.column("y")], ["x", "y"]).filter(pa.array((s == t).sum(axis=1) >= least))
 
     rows = pairs.join(a, "x").join(b, "y").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
@@ -255,8 +246,8 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, turns:
     """x, y: confirmed links between units that join every linked group (not all pairs of it)."""
     spark = docs.sparkSession
     rows = rows.where("u is not null and doc_id is not null")
-    units = cut(rows.groupBy("u").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "near-units")
-    bands = _bands(units)
+    units = cut(rows.select("u", F.col("n_shingles").alias("n"), "bands", "sig").dropDuplicates(["u"]), "near-units")
+    bands = units.select("u", F.explode("bands").alias("b"))
     buckets = bands.groupBy("b").agg(F.min(F.struct(F.xxhash64("u").alias("p"), "u")).alias("c"), F.count("*").alias("size")).where("size > 1")
     members = cut(bands.join(buckets, "b").select("b", "u", F.col("c.u").alias("centre")), "near-members")
     free_shuffles(spark)
