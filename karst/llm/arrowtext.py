@@ -154,11 +154,6 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def chars_per_text(t: Texts, table: np.ndarray) -> np.ndarray:
-    """Bytes of each text with a one in the table."""
-    return per_text(table[t.buf].astype(np.int64), t.off)
-
-
 class HashTable:
     """Distinct 64-bit keys to their order of arrival, looked up and filled a whole array at a time (linear probing)."""
 

@@ -1,8 +1,7 @@
 """Quality rules: plain counts of every text, and a hashed n-gram logistic regression against a fixed threshold.
 
-The model: frequencies of hashed word 1-grams and of byte 2- to 4-grams (character n-grams of the UTF-8 text), both over the
-text's own totals, so a text's length does not count. It is fitted with numpy on a bounded sample of labelled rows that are
-not held out, calibrated by a sigmoid on rows an equal model did not see, and applied to Arrow batches. A text is kept if
+The model: frequencies of hashed word 1-grams and of character 2- to 4-grams, both over the text's own totals, so a text's
+length does not count. It is fitted with numpy on a bounded sample of labelled rows that are not held out, calibrated by a sigmoid on rows an equal model did not see, and applied to Arrow batches. A text is kept if
 no base rule fails and its probability of label 1 reaches `threshold`.
 
 Edge cases: null and empty texts have no words and fail the base rule; without labels of both classes the model keeps
@@ -17,12 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karst.llm.arrowtext import SLICE, Texts, U, batch, covered, gram_hashes, mix, per_text, release, slices
-from karst.llm.linear import held_out, labelled, platt, sigmoid
+from karst.llm.linear import fitted, platt, sigmoid
 from karst.sources.shared import spread
 
-BITS = 16
+BITS = 16  # feature numbers are unsigned 16-bit
 FIT_ROWS = 6000  # documented bound of the labelled sample
-FIT_BYTES = 48 << 20
 THRESHOLD = 0.5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -69,16 +67,30 @@ def _repeated(h: np.ndarray, first: bool) -> np.ndarray:
     return np.flatnonzero(mask)
 
 
+def characters(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each character as one number, and the bounds of texts (the space after a text is its last character)."""
+    head = np.flatnonzero(HEAD[t.buf])
+    size = np.diff(np.append(head, len(t.buf)))
+    x = t.buf[head].astype(np.uint32)
+    for j in (1, 2, 3):
+        more = np.flatnonzero(size > j)
+        x[more] |= t.buf[head[more] + j].astype(np.uint32) << np.uint32(8 * j)
+    return x, np.searchsorted(head, t.off)
+
+
 def _grams(t: Texts, bits: int):
-    """(feature numbers, text of each) for words and for bytes; bounds are implied by the order of texts."""
-    b = t.buf.astype(np.uint32)
-    out = [((t.word_hashes() >> U(64 - bits)).astype(np.int64), t.wc)]
-    x = b.copy()
+    """(feature numbers in the order of texts, bounds of texts) for words and for runs of 2 to 4 characters of one text."""
+    out = [((t.word_hashes() >> U(64 - bits)).astype(np.uint16), t.wc)]
+    char, bound = characters(t)
+    x = char * np.uint32(0x9E3779B1)
     for k in (2, 3, 4):
-        m = max(len(b) - k + 1, 0)
-        x = x[:m] | b[k - 1 : k - 1 + m] << np.uint32(8 * (k - 1))
-        f = (x * np.uint32(0x9E3779B1) + np.uint32(k)) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits)
-        out.append((f, np.minimum(t.off, m)))  # a gram belongs to the text it starts in
+        m = max(len(char) - k + 1, 0)
+        x = ((x[:m] ^ x[:m] >> np.uint32(15)) + char[k - 1 : k - 1 + m]) * np.uint32(0x85EBCA6B + 2 * k)
+        own = np.ones(m, bool)  # not those that run on into the next text
+        for j in range(1, k):
+            at = bound[1:] - j
+            own[at[(at >= 0) & (at < m)]] = False
+        out.append(((x >> np.uint32(32 - bits))[own].astype(np.uint16), np.concatenate([[0], np.cumsum(np.maximum(np.diff(bound) - k + 1, 0))])))
     return out
 
 
@@ -108,8 +120,7 @@ def fit(column: pa.Array, y: np.ndarray, bits: int = BITS, epochs: int = 30) ->
                 u, c = np.unique(f[bound[i] : bound[i + 1]], return_counts=True)
                 fs.append(u.astype(np.int32) + np.int32(k << bits))
                 vs.append((c / max(bound[i + 1] - bound[i], 1)).astype(np.float32))
-            v = np.concatenate(vs)
-            rows.append((np.concatenate(fs), v))
+            rows.append((np.concatenate(fs), np.concatenate(vs)))
 
     def train(which):
         w, g2, b = np.zeros(4 << bits), np.full(4 << bits, 1e-8), 0.0
@@ -171,7 +182,7 @@ def judge(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD, col
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are kept, with all their columns whatever their names."""
     docs = spread(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(*labelled(docs, labels, FIT_ROWS, FIT_BYTES)))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, FIT_ROWS, fit))
 
     def run(batches):
         for s in slices(batches, "text", SLICE // 2):
@@ -181,4 +192,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, columns: list[str] = ("doc_id",)) -> DataFrame:
-    return judge(spread(docs), fit(*labelled(docs, labels, FIT_ROWS, FIT_BYTES)), threshold, list(columns))
+    """The columns asked for, the five counts, base_failed, score and kept of every row of docs."""
+    return judge(spread(docs), fitted(docs, labels, FIT_ROWS, fit), threshold, list(columns))

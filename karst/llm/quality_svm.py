@@ -18,12 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karst.llm.arrowtext import SLICE, Texts, U, batch, mix, slices
-from karst.llm.linear import held_out, labelled, platt, sigmoid
+from karst.llm.linear import fitted, held_out, platt, sigmoid
 from karst.sources.shared import spread
 
 BITS = 19
 FIT_ROWS = 6000  # documented bound of the labelled sample
-FIT_BYTES = 48 << 20
 
 
 def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -133,9 +132,9 @@ def score_column(column: pa.Array, m: dict) -> np.ndarray:
     return sigmoid(m["a"] * margin + m["c"])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    model = fit(*labelled(docs, labels, fit_rows, fit_bytes))
+    model = fitted(docs, labels, fit_rows, fit)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB whatever the data's size
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
