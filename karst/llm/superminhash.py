@@ -34,7 +34,7 @@ PERCENT = 80
 PLACES = 256
 ROWS = 5
 BANDS = 25
-REPS = 1_000_000  # units whose texts are found by a broadcast of 24 bytes each; more of them by a shuffle
+REPS = 250_000  # units whose texts are found by a broadcast of three numbers each, under 40 MB; more of them by a shuffle
 _STEP = 24  # bits of r; a value is step << 24 | r
 
 
@@ -158,33 +158,21 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "x").join(b, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
 
 
-def _texts_of(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """u, text of every unit in the pairs, by one representative document."""
-    need = pairs.select(F.col("x").alias("u")).union(pairs.select("y")).distinct()
-    rep = rows.select("u", "doc_id").join(need, "u").groupBy("u").agg(F.min("doc_id").alias("doc_id"))
-    rep = cut(rep, "near-reps")
+def _texts(docs: DataFrame, units: DataFrame, members: DataFrame) -> DataFrame:
+    """u, text of every unit that shares a band with another, by the document and text hash that stand for it."""
+    rep = cut(units.join(members.select("u").distinct(), "u", "left_semi").select("u", "doc_id", "th"), "near-reps")
     if rep.count() <= REPS:
         rep = F.broadcast(rep)
-    schema = pa.schema([("u", pa.int64()), ("text", pa.string())])
-
-    def run(batches):  # a doc_id may name several texts: only the one with this set
-        for s in slices(batches):
-            own = unit_names(*shingle_sets(Texts(s.column("text"), lower=True)))
-            keep = pa.array(own == s.column("u").to_numpy())
-            yield batch(schema, s.column("u"), s.column("text").cast(pa.string())).filter(keep)
-
-    found = docs.select("doc_id", "text").join(rep, "doc_id").select("u", "text").mapInArrow(run, "u long, text string")
+    found = docs.select("doc_id", text_hash().alias("th"), "text").join(rep, ["doc_id", "th"]).select("u", "text")
     return cut(found.dropDuplicates(["u"]), "near-texts")
 
 
-def _possible(m: DataFrame, rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _possible(m: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """x, y: pairs of different groups around one centre that could reach the threshold. m: c (centre), u, g.
 
     With i = |u & c| and the rest of u, |x & y| is at most min(ix, iy) plus the elements outside c that both have. So a pair
     either passes by its four sizes alone, or shares a rest element; of those, each unit shows only its rarest, as many as
     must contain a shared one if the pair is linked (prefix filter)."""
-    pairs = m.select(F.col("c").alias("x"), F.col("u").alias("y"))
-    texts = _texts_of(pairs, rows, docs)
     a, b = texts.select(F.col("u").alias("c"), F.col("text").alias("tc")), texts.select("u", F.col("text").alias("tu"))
 
     def run(batches):
@@ -242,14 +230,15 @@ def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     return cut(m.join(by, "b"), "near-open")
 
 
-def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, turns: int = 2, centres: int = 4) -> DataFrame:
+def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, turns: int = 1, centres: int = 4) -> DataFrame:
     """x, y: confirmed links between units that join every linked group (not all pairs of it)."""
     spark = docs.sparkSession
     rows = rows.where("u is not null and doc_id is not null")
-    units = cut(rows.select("u", F.col("n_shingles").alias("n"), "bands", "sig").dropDuplicates(["u"]), "near-units")
+    units = cut(rows.select("u", "doc_id", "th", F.col("n_shingles").alias("n"), "bands", "sig").dropDuplicates(["u"]), "near-units")
     bands = units.select("u", F.explode("bands").alias("b"))
     buckets = bands.groupBy("b").agg(F.min(F.struct(F.xxhash64("u").alias("p"), "u")).alias("c"), F.count("*").alias("size")).where("size > 1")
     members = cut(bands.join(buckets, "b").select("b", "u", F.col("c.u").alias("centre")), "near-members")
+    texts = _texts(docs, units, members)
     free_shuffles(spark)
 
     def test(pairs: DataFrame) -> None:
@@ -259,7 +248,7 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, turns:
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         some = cut(_likely(pairs, units, percent), "near-pairs")
-        found = cut(_confirm(some, _texts_of(some, rows, docs), percent), "near-links")
+        found = cut(_confirm(some, texts, percent), "near-links")
         tested = some if tested is None else tested.unionByName(some)
         links = found if links is None else links.unionByName(found)
         free_shuffles(spark)
@@ -270,7 +259,7 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, turns:
     m = _open(members, links)
     for turn in range(turns):
         if not m.limit(1).count():
-            return links
+            break
         at = m.where("g = main").groupBy("b").agg(*[F.min_by("u", F.xxhash64("u", F.lit(turn * centres + i))).alias(f"c{i}") for i in range(centres)])
         pairs = m.where("g <> main").select("b", F.col("u").alias("x")).join(at, "b")
         test(pairs.select("x", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(centres)]))).alias("y")))
@@ -278,9 +267,9 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int = PERCENT, turns:
 
     if m.limit(1).count():
         around = m.select(F.col("centre").alias("c"), "u", "g").union(m.select("centre", "centre", "main")).distinct()
-        test(_possible(around, rows, docs, percent))
-    drop_cut(units)
-    drop_cut(members)
+        test(_possible(around, texts, percent))
+    for used in (units, members, texts):
+        drop_cut(used)
     return links
 
 
