@@ -6,8 +6,9 @@ the HTTP head. Equal payloads are found by SHA-1 and length with map-side aggreg
 pages share costs one row per task.
 
 Reader: walks a file by gzip members or, in plain archives, version lines. Each record must inflate, parse, have the stated
-length and end, and match its digests. When a check fails it searches for the next member or version line that passes all
-of them, goes on there, and reports the bytes between as a quarantined gap. One record is in memory at a time.
+length and end, and match its digests. When a check fails it searches for the next version line of the member, or the next
+member or version line of the file, that passes all of them, goes on there, and reports the bytes between as a quarantined gap.
+Members are inflated a piece at a time; one record is in memory.
 
 Edge cases: null html is an empty payload; null page_id is written as "null", never wins over an id, and is read as null;
 null url is an empty URI; control characters of a URL are percent-encoded.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,6 +33,7 @@ from karst.sources.shared import cut, new_path, spread
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 256 << 20
+PIECE = 1 << 20
 
 # Fixed values of the format.
 MAGIC = b"\x1f\x8b\x08"
@@ -72,6 +75,10 @@ class Damaged(ValueError):
     pass
 
 
+class Short(Damaged):
+    """The bytes at hand end before the record does."""
+
+
 def parse(raw, at: int = 0) -> tuple[dict, int]:
     """The record at `at` and the position after it. Raises Damaged if any check fails."""
     if bytes(raw[at : at + 7]) != VERSION:
@@ -80,8 +87,10 @@ def parse(raw, at: int = 0) -> tuple[dict, int]:
     while head_end < 0:
         head = bytes(raw[at : at + step])
         head_end = head.find(END)
-        if head_end < 0 and (step >= 1 << 22 or at + step >= len(raw)):
+        if head_end < 0 and step >= 1 << 22:
             raise Damaged("head has no end")
+        if head_end < 0 and at + step >= len(raw):
+            raise Short("head has no end")
         step <<= 2
     lines = head[:head_end].decode("utf-8", "replace").split("\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -89,7 +98,9 @@ def parse(raw, at: int = 0) -> tuple[dict, int]:
         raise Damaged("no length")
     start = at + head_end + 4
     stop = start + int(fields["content-length"])
-    if stop + 4 > len(raw) or bytes(raw[stop : stop + 4]) != END:
+    if stop + 4 > len(raw):
+        raise Short("length and end differ")
+    if bytes(raw[stop : stop + 4]) != END:
         raise Damaged("length and end differ")
     block = bytes(raw[start:stop])
     want = fields.get("warc-block-digest", "")
@@ -110,19 +121,60 @@ def parse(raw, at: int = 0) -> tuple[dict, int]:
     return {"record_id": fields.get("warc-record-id"), "record_type": kind, "uri": fields.get("warc-target-uri"), "payload": None if kind == "revisit" else payload, "payload_bytes": size, "payload_digest": digest, "refers_to": fields.get("warc-refers-to")}, stop + 4
 
 
-def _inflate(data, at: int) -> tuple[bytes, int]:
-    """The member at `at` and the position after it."""
-    z, out, p = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof:
-            some = bytes(data[p : p + (1 << 16)])
+class _Inflated:
+    """The inflated bytes of the member at `at`, a piece at a time: buf holds those that no record has used yet."""
+
+    def __init__(self, data, at: int):
+        self.data, self.p, self.z, self.buf, self.error = data, at, zlib.decompressobj(31), bytearray(), None
+
+    def more(self) -> bool:
+        """Add at most PIECE bytes to buf; False at the end of the member or at its damage."""
+        while not self.z.eof and self.error is None:
+            some = self.z.unconsumed_tail or bytes(self.data[self.p : self.p + (1 << 16)])
             if not some:
-                raise Damaged("member is cut off")
-            out.append(z.decompress(some))
-            p += len(some)
-    except zlib.error as e:
-        raise Damaged(f"member: {e}") from None
-    return b"".join(out), p - len(z.unused_data)
+                self.error = "member is cut off"
+                break
+            if not self.z.unconsumed_tail:
+                self.p += len(some)
+            try:
+                out = self.z.decompress(some, PIECE)
+            except zlib.error as e:
+                self.error = f"member: {e}"
+                break
+            if self.z.eof:
+                self.p -= len(self.z.unused_data)
+            if out:
+                self.buf += out
+                return True
+        return False
+
+
+def _member_records(data, at: int) -> Iterator[tuple[str, int, dict | str]]:
+    """('record', place reached, fields) of every intact record of a member, ('bad', place, reason) where it goes on at a later
+    version line, and at last ('end' or 'damaged', place, reason). Bytes of one record are held, as far as its length is right."""
+    m, bad = _Inflated(data, at), None
+    while True:
+        if len(m.buf) < 1 << 14 and m.more():
+            continue
+        if not m.buf:
+            break
+        try:
+            r, stop = parse(m.buf)
+        except Damaged as e:
+            if isinstance(e, Short) and m.more():
+                continue
+            bad = bad or str(e)
+            i = m.buf.find(VERSION, 1)
+            del m.buf[: i if i > 0 else max(len(m.buf) - len(VERSION) + 1, 1)]
+            continue
+        if bad:
+            yield "bad", m.p, bad
+            bad = None
+        del m.buf[:stop]
+        yield "record", m.p, r
+    if bad and m.error is None:
+        yield "bad", m.p, bad
+    yield "end" if m.error is None else "damaged", m.p, m.error or ""
 
 
 def _find(data, sub: bytes, at: int, block: int = 1 << 20) -> int:
@@ -134,48 +186,48 @@ def _find(data, sub: bytes, at: int, block: int = 1 << 20) -> int:
     return len(data)
 
 
-def _records_at(data, at: int) -> tuple[list[dict], int]:
+def _records_at(data, at: int) -> Iterator[tuple[str, int, dict | str]]:
+    """As _member_records, for a member or a plain record."""
     if bytes(data[at : at + 3]) == MAGIC:
-        raw, end = _inflate(data, at)
-        found, p = [], 0
-        while p < len(raw):
-            r, p = parse(raw, p)
-            found.append(r)
-        if not found:
-            raise Damaged("member is empty")
-        return found, end
-    r, end = parse(data, at)
-    return [r], end
+        yield from _member_records(data, at)
+        return
+    try:
+        r, end = parse(data, at)
+    except Damaged as e:
+        yield "damaged", at, str(e)
+        return
+    yield "record", end, r
+    yield "end", end, ""
 
 
 def salvage(data) -> Iterator[tuple[str, int, int, dict | str]]:
-    """('record', start, end, fields) and ('gap', start, end, reason) of an archive: bytes or an array of them."""
+    """('record', start, end, fields) and ('gap', start, end, reason) of an archive: bytes or an array of them. A record of a
+    member starts where the member does and ends where its last byte was read; gaps inside a member have the member's bounds. Every intact record is found, also those before and after damage in their own member."""
     at, n = 0, len(data)
+    lost: tuple[int, str] | None = None  # where the present gap began, and why
     while at < n:
-        try:
-            found, end = _records_at(data, at)
-        except Damaged as e:
-            reason, q = str(e), at + 1
-            next_member, next_line = _find(data, MAGIC, q), _find(data, VERSION, q)
-            while True:
-                q = min(next_member, next_line)
-                if q >= n:
-                    break
-                try:
-                    found, end = _records_at(data, q)
-                    break
-                except Damaged:
-                    if q == next_member:
-                        next_member = _find(data, MAGIC, q + 1)
-                    if q == next_line:
-                        next_line = _find(data, VERSION, q + 1)
-            yield "gap", at, q, reason
-            if q >= n:
-                return
-            at = q
-        for r in found:
-            yield "record", at, end, r
-        at = end
+        some = False
+        for kind, place, what in _records_at(data, at):
+            if kind == "record":
+                if lost:
+                    yield "gap", lost[0], at, lost[1]
+                    lost = None
+                some = True
+                yield "record", at, place, what
+            elif kind == "bad" and some:
+                yield "gap", at, place, f"inside a member: {what}"
+            elif kind == "bad":
+                lost = lost or (at, what)
+            else:
+                last = kind, place, what
+        kind, place, what = last
+        if kind == "end" and some:
+            at = place
+            continue
+        lost = lost or (at, what or "no record")
+        at = min(_find(data, MAGIC, at + 1), _find(data, VERSION, at + 1))
+    if lost:
+        yield "gap", lost[0], n, lost[1]
 
 
 def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -244,7 +296,11 @@ def page_of(urn: str) -> F.Column:
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write all pages, read the archives back, and return one row per record."""
+    """Write all pages, read the archives back, and return one row per record. Quarantined gaps are logged."""
     folder = new_path(pages.sparkSession, "warc")
     files = write_warc(pages, folder, min_bytes)
-    return read_warc(files, folder, payloads=False).where("gap is null").select(page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to"))
+    found = cut(read_warc(files, folder, payloads=False).drop("payload"), "warc-records")
+    gaps = found.where("gap is not null")
+    if n := gaps.count():
+        logging.getLogger(__name__).warning("%d quarantined gaps in %s, the first: %s", n, folder, gaps.select("file", "start", "end", "gap").first())
+    return found.where("gap is null").select(page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to"))
