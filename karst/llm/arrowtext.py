@@ -1,13 +1,15 @@
 """Whole texts of an Arrow batch as one byte buffer, with vectorised word boundaries and 64-bit content hashes.
 
 Null texts are empty. Hashes are polynomial over a random byte table modulo 2^64, finished by a bijective mixer, so equal
-contents have equal hashes on every machine; where two texts must be told apart for certain, callers combine two of them.
+contents have equal hashes on every machine. Such polynomials collide for some regular strings of 1024 bytes and more whatever
+their base, so strings from LONG bytes are hashed by BLAKE2b.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,7 @@ WORD = 1 - _SPACE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+LONG = 512
 SLICE = 1 << 20  # bytes of text handled at once; a longer text makes a slice of its own
 
 _pow = np.ones(1, np.uint64)
@@ -107,7 +110,10 @@ class Texts:
     def hashes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """64-bit hashes of the byte strings [start, stop)."""
         _, ip = powers(len(self.buf) + 1)
-        return mix((self.prefix[stop] - self.prefix[start]) * ip[start])
+        h = mix((self.prefix[stop] - self.prefix[start]) * ip[start])
+        for i in np.flatnonzero(stop - start >= LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.buf[start[i] : stop[i]], digest_size=8).digest(), "little")
+        return h
 
     def split(self, table: np.ndarray = WORD) -> None:
         """Find words: ws, we are their bounds, wc[i] the number of words before text i, wd the text of each."""

@@ -8,7 +8,8 @@ Shards hold consecutive ranges of doc_id in ascending order. The global position
 sum over the shards' totals, plus its offset. Files are written under another name and renamed, so a task that runs twice
 leaves the same files. Shards on a file system that Python cannot open are copied through Arrow's file systems.
 
-Edge cases: null or empty text is one end id; null doc_id sorts first; rows that repeat a doc_id each get their own entry.
+Edge cases: null or empty text is one end id; null doc_id sorts first; rows that repeat a doc_id each get their own entry, in
+the order of their texts' hashes; a text of any length is encoded whole.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karst.llm.arrowtext import HashTable, Texts, per_text, release
-from karst.sources.shared import cut, local_path, new_path, spread
+from karst.sources.shared import cut, local_path, new_path, spread, text_hash
 
 END = 0
 NULL_ID = -(2**63)
@@ -43,7 +44,8 @@ class Encoder:
     In a byte-level vocabulary, a single space before a word starts a new piece and so does a run of line feeds; a text's ids
     are then those of its words, each with the space before it, and of those runs. Distinct ones are known by a 64-bit hash
     and encoded once. Letters alone are one piece and go to the library's merges at once, other words to its full encoder.
-    Texts with other white space between words, and all texts of other kinds of vocabularies, go to the library whole.
+    Texts with other white space between words or with an added token's own spelling, and all texts of other kinds of
+    vocabularies, go to the library whole.
     When the store is full its newer half goes: frequent words come early.
     """
 
@@ -52,7 +54,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.model = self.tok.model
         self.vocab = self.tok.get_vocab_size()
         self.kind = np.uint16 if self.vocab <= 1 << 16 else np.uint32
@@ -65,6 +67,7 @@ class Encoder:
         self.start = np.zeros(1 << 19, np.int64)
 
     def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
+        """Store the ids of new parts under their keys."""
         got: list = [None] * len(parts)
         rest = []
         for i, p in enumerate(parts):
@@ -111,6 +114,8 @@ class Encoder:
         tail_fed = (tail == 1) & (t.buf[np.minimum(last, len(t.buf) - 1)] == 10) & (t.nw > 0) if t.n else tail > 0
         slow |= (tail > 0) & ~tail_fed
         slow[self._wide_spaces(t)] = True
+        for x in self.added:
+            slow |= pc.fill_null(pc.match_substring(column, x), False).to_numpy(zero_copy_only=False)
 
         where = np.concatenate([t.wc[1:][tail_fed], np.flatnonzero(fed)])
         lo = np.insert(t.ws - space, where, np.concatenate([last[tail_fed], gap[fed]]))
@@ -213,7 +218,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, mark: str | None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(mark) if mark else F.lit(None)).cast("long").alias("mark"))
     n = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
     order = F.col("doc_id").asc_nulls_first()
-    rows = rows.repartitionByRange(n, order).sortWithinPartitions(order)
+    rows = rows.repartitionByRange(n, order).sortWithinPartitions(order, text_hash(), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
