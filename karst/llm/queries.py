@@ -79,7 +79,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(read_table(spark, sf_dir, "pages"))
 
 
-ORACLES: dict[str, str] = {}
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_CHARS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> {k}) % 32 + 1, 1)" for k in (15, 10, 5, 0))
+
+ORACLES: dict[str, str] = {
+    "op8_decontaminate": f"""
+WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bk AS (SELECT item_id, w, least(len(w), 13) AS k FROM b WHERE len(w) > 0),
+bp AS (SELECT item_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS p FROM bk),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM bp),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+dp AS (SELECT r, w, k, unnest(generate_series(1, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k),
+dw AS (SELECT r, k, p, array_to_string(w[p:p + k - 1], ' ') AS g FROM dp),
+h AS (SELECT r, p, dw.k, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.g = bw.g),
+c AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + k - 1)) AS q FROM h) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND coalesce(n_hit, 0) * 20 >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN i USING (r)""",
+    "op10_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+x AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(sha1(h), 5 * i + 1, 5))::INTEGER) AS parts FROM p)
+SELECT page_id, octet_length(encode(h)) AS payload_bytes, array_to_string(list_transform(parts, lambda v: {_CHARS}), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM x""",
+}
 
 QUERIES = [op1_quality_svm, op2_token_files, op3_lbl_lm, op4_superminhash, op5_suffix_dedup, op6_recompression, op7_quality_rules, op8_decontaminate, op9_mix, op10_warc]
 

@@ -223,10 +223,82 @@ def test_warc(spark):
         hurt[len(hurt) // 2] ^= 255
         data = parts[0] + bytes(hurt) + b"junk" + parts[2] + parts[3][:-9]
         got = list(salvage(data))
-        assert [g[3]["record_id"] for g in got if g[0] == "record"] == ["<urn:page:0>", "<urn:page:2>"]
+        whole = ["<urn:page:3>"] if pack is member else []  # there only the checksum at the end is cut off
+        assert [g[3]["record_id"] for g in got if g[0] == "record"] == ["<urn:page:0>", "<urn:page:2>", *whole]
         assert [(a, z) for k, a, z, _ in got if k == "gap"] == [(len(parts[0]), len(parts[0] + parts[1]) + 4), (len(data) - len(parts[3]) + 9, len(data))]
 
 
+def test_salvage_inside_members():
+    from karst.llm.warc import member, record, salvage
+
+    rng = random.Random(1)
+    raw = [record(i, "u", rng.randbytes(40_000), None, False) for i in range(3)]
+    hurt = bytearray(raw[1])
+    hurt[len(hurt) // 2] ^= 255
+    after = member(record(8, "u", b"x", None, False))
+    ids = lambda data: [g[3]["record_id"][10:-1] for g in salvage(data) if g[0] == "record"]
+    gaps = lambda data: [g[1:3] for g in salvage(data) if g[0] == "gap"]
+    one = member(raw[0] + bytes(hurt) + raw[2])
+    assert ids(one + after) == ["0", "2", "8"] and gaps(one + after) == [(0, len(one))]
+    cut_off = member(b"".join(raw))[:-50_000]
+    assert ids(cut_off + after) == ["0", "8"] and gaps(cut_off + after) == [(0, len(cut_off))]
+    assert ids(b"") == [] == gaps(b"") and gaps(b"junk") == [(0, 4)]
+
+
+def test_long_and_marked_words():
+    """Regular words of 1024 bytes and more, which polynomial hashes do not tell apart, and an added token's spelling."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from karst.llm.arrowtext import Texts
+    from karst.llm.quality_rules import counts
+    from karst.llm.token_files import Encoder
+
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    t = Texts(pa.array([f"{a}\n{b}\n{a}"]))
+    t.split()
+    h = t.word_hashes()
+    assert h[0] == h[2] != h[1] and counts(t)["n_dup_lines"].tolist() == [1]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [a, b, "x <|endoftext|> y", "hello<|endoftext|>world", None]
+    ids, off = Encoder(path).encode(pa.array(texts))
+    tok = Tokenizer.from_file(path)
+    assert [ids[i : j - 1].tolist() for i, j in zip(off[:-1], off[1:], strict=True)] == [tok.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_fits_take_long_texts(docs, spark):
+    from karst.llm.linear import fitted, labelled
+
+    long = spark.createDataFrame([(99, "long word " * 6000), (99, "other"), (100, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(99, 1), (99, 0), (100, 0), (7, None)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in labelled(long, labels, 6000).collect()}
+    assert got[99].text == "long word " * 6000 and got[99].quality == 1 and got[100].text == ""
+    assert fitted(long, labels, 6000, lambda text, y: (len(text), y.tolist())) == (2, [1, 0])
+    assert fitted(long.where("false"), labels, 6000, lambda text, y: len(text)) == 0
+
+
+def test_sql(spark):
+    """The thin queries of operators that SQL can express."""
+    import duckdb
+
+    from karst.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for x in ("documents", "benchmark", "pages"):
+        con.execute(f"create view {x} as select * from '{d}/{x}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, d)
+        res = con.execute(sql)
+        names = [x[0] for x in res.description]
+        assert sorted(names) == sorted(df.columns)
+        assert sorted(tuple(str(r[c]) for c in names) for r in df.collect()) == sorted(tuple(map(str, r)) for r in res.fetchall())
+
+
 def test_null_ids_and_repeated_rows(spark):
     from karst.llm.decontam import contamination
     from karst.llm.lbl_lm import score
