@@ -40,7 +40,7 @@ def partition_violations(items: DataFrame, train: str, evals: list[str]) -> Data
 
 
 def train_twice_sets(items: DataFrame, removed: DataFrame, train: str, evals: list[str], limit: int | None = None) -> DataFrame:
-    """role (raw, deduped, test), item_id: the lists to train on before and after deduplication, and to test on. items: item_id,
+    """role (raw, reduced, test), item_id: the lists to train on before and after deduplication, and to test on. items: item_id,
     split; removed: item_id. limit, where given, is the length of the raw and of the test list: the first items by id."""
 
     def first(rows: DataFrame) -> DataFrame:
@@ -48,12 +48,12 @@ def train_twice_sets(items: DataFrame, removed: DataFrame, train: str, evals: li
         return ids if limit is None else ids.orderBy("item_id").limit(limit)
 
     raw = first(items.where(F.col("split") == train))
-    deduped = raw.join(removed.select("item_id"), "item_id", "left_anti")
-    sets = {"raw": raw, "deduped": deduped, "test": first(items.where(F.col("split").isin(evals)))}
+    reduced = raw.join(removed.select("item_id"), "item_id", "left_anti")
+    sets = {"raw": raw, "reduced": reduced, "test": first(items.where(F.col("split").isin(evals)))}
     return reduce(DataFrame.union, [ids.select(F.lit(role).alias("role"), "item_id") for role, ids in sets.items()])
 
 
 def train_twice_counts(sets: DataFrame) -> DataFrame:
-    """n_train_raw, n_train_deduped, n_test of train_twice_sets."""
+    """n_train_raw, n_train_reduced, n_test of train_twice_sets."""
     n = lambda role: F.count_if(F.col("role") == role)
-    return sets.agg(n("raw").alias("n_train_raw"), n("deduped").alias("n_train_deduped"), n("test").alias("n_test"))
+    return sets.agg(n("raw").alias("n_train_raw"), n("reduced").alias("n_train_reduced"), n("test").alias("n_test"))

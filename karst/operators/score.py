@@ -28,9 +28,9 @@ def caught(planted: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def recall_by_tier(planted: DataFrame, members: DataFrame) -> DataFrame:
-    """tier, total, caught, on_time, missed, recall."""
+    """tier, total, caught, on_time (caught first at the stage expected), missed, recall."""
     c = caught(planted, members)
-    got, on_time = F.count("caught_stage"), F.count_if(F.col("caught_stage") <= F.col("expected_stage"))
+    got, on_time = F.count("caught_stage"), F.count_if(F.col("caught_stage") == F.col("expected_stage"))
     return c.groupBy(F.col("type").alias("tier")).agg(F.count("*").alias("total"), got.alias("caught"), on_time.alias("on_time"), (F.count("*") - got).alias("missed"), fraction(got, F.count("*")).alias("recall"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder: spark.checkpoint.dir, or a folder of our own where that is unset (tests, local mode)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="karst-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -90,6 +94,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_names(f):
+    """For functions of a table that return its columns: columns whose names begin with an underscore, as those of helper columns
+    do, bear other names meanwhile."""
+
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        lead = "own"
+        while any(c.lower().startswith(lead) for c in docs.columns):
+            lead += "0"
+        away = {c: f"{lead}{c}" for c in docs.columns if c.startswith("_")}
+        return f(docs.withColumnsRenamed(away), *args, **kwargs).withColumnsRenamed({v: k for k, v in away.items()}) if away else f(docs, *args, **kwargs)
+
+    return run
+
+
 def text_hash() -> F.Column:
     """Tells documents apart that share a doc_id; equal rows share it."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))

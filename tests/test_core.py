@@ -134,6 +134,10 @@ def test_score_and_report(spark):
     t = score.report(m)[0].first()
     assert (t.initial_images, t.final_images, t.removed, t.reduction_fraction) == (100, 70, 30, 0.3)
     planted = spark.createDataFrame([("p", "o", "exact", 1)], "file string, original string, type string, expected_stage int")
+    early = spark.createDataFrame([("p", "o", "near", 2), ("q", "o", "exact", 1)], planted.schema)
+    members = spark.createDataFrame([(1, "g", x) for x in "poq"], "stage int, group string, name string")
+    tiers = {r.tier: (r.caught, r.on_time) for r in score.recall_by_tier(early, members).collect()}
+    assert tiers == {"near": (1, 0), "exact": (1, 1)}
     removed = spark.createDataFrame([("p",), ("z",)], "name string")
     assert score.precision(planted, removed).first().precision == 0.5
     assert score.precision(planted, removed.where("false")).first().precision == 1.0

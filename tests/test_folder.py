@@ -64,9 +64,9 @@ def test_leakage_demo(spark, photos, tmp_path):
     assert (leak["val"].eval_images, leak["val"].leaked_images) == (5, 3)
     n = folder.train_twice(spark, cfg, None).first()
     rows = spark.read.parquet(f"{tmp_path}/run/train_twice").collect()
-    lists = {k: {r.item_id for r in rows if r.role == k} for k in ("raw", "deduped", "test")}
+    lists = {k: {r.item_id for r in rows if r.role == k} for k in ("raw", "reduced", "test")}
     gone = {r.path for r in spark.read.parquet(f"{tmp_path}/run/removed").collect()}
-    assert (n.n_train_raw, n.n_test) == (6, 5) and lists["deduped"] == lists["raw"] - gone and n.n_train_deduped == len(lists["deduped"])
+    assert (n.n_train_raw, n.n_test) == (6, 5) and lists["reduced"] == lists["raw"] - gone and n.n_train_reduced == len(lists["reduced"])
     assert folder.train_twice(spark, cfg, 2).first().n_test == 2
     with pytest.raises(ValueError):
         folder.train_twice(spark, config.load(None, [f"io.image_root={tmp_path}/demo/images", f"io.output_dir={tmp_path}/run", "leakage.train_split=other"]))
