@@ -18,7 +18,7 @@ from karst.llm.pfair import in_order
 from karst.llm.quality_rules import keep_good
 from karst.llm.superminhash import keep_one
 from karst.llm.token_files import token_files
-from karst.sources.shared import cut, read_table
+from karst.sources.shared import cut, on_workers, read_table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -53,7 +53,8 @@ def mix_index(docs: DataFrame) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    read_table(spark, sf_dir, "documents")
+    on_workers(spark)
+    docs = docs.drop(*[c for c in ("mix_index", "_file", "_row", "_f", "_base") if c in docs.columns])
     out = token_files(mix_index(docs), public_tokenizers.path(TOKENIZER), mark="mix_index")
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", F.col("mark").alias("mix_index"))
 

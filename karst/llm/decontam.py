@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.sources.shared import cut, spread, text_hash
+from karst.sources.shared import cut, own_names, spread, text_hash
 
 # Letters lowered, and the characters between words (every ASCII character but lower-case letters and digits).
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -92,6 +92,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * share))
 
 
+@own_names
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5) -> DataFrame:
     """docs without contaminated documents; all columns are kept."""
     hits = find_spans(find_hits(docs, benchmark, window)).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "n_hit")

@@ -22,7 +22,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from karst.sources.shared import cut, spread, text_hash
+from karst.sources.shared import cut, own_names, spread, text_hash
 
 BLOCK_BYTES = 1 << 16
 BUCKET_ROWS = 4096
@@ -108,6 +108,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_B
     return rows.select("doc_id", "source", "n_bytes", "block", (F.col("r") + shift).alias("release"), (F.col("z") + shift).alias("deadline"), (F.col("t") + shift).alias("slot"), "at", (F.col("t") + shift < horizon).alias("in_balance"), F.col("_th").alias("th"))
 
 
+@own_names
 def in_order(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All rows and columns of docs, range-partitioned and sorted by the schedule, so that files written from it hold the mix."""
     d = docs.withColumn("_th", text_hash())

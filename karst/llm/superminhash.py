@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from karst.llm.arrowtext import COEF, SLICE, Texts, U, batch, gram_hashes, mix, slices
 from karst.operators.components import connected_components
-from karst.sources.shared import cut, drop_cut, free_shuffles, spread, text_hash
+from karst.sources.shared import cut, drop_cut, free_shuffles, own_names, spread, text_hash
 
 SHINGLE = 5
 PERCENT = 80
@@ -287,6 +287,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+@own_names
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group, the smallest doc_id, and with one of rows that repeat a doc_id and its text."""
     groups = cut(near_groups(docs, percent).select("doc_id", "th", "kept"), "near-decisions")

@@ -281,6 +281,30 @@ def test_fits_take_long_texts(docs, spark):
     assert fitted(long.where("false"), labels, 6000, lambda text, y: len(text)) == 0
 
 
+def test_stages_on_awkward_tables(spark, docs, empty, tmp_path):
+    """Every stage of the pipeline, over tables with clashing names and over empty ones, and over a text of 5 MB."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(i, 0 if (t or "").startswith("###") else 1) for i, t in enumerate(TEXTS)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(TEXTS[14].split()[20:60])), (None, TEXTS[14]), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = spark.createDataFrame([(1000, " ".join(f"n{i}" for i in range(700_000)))], "doc_id long, text string")
+    d = docs.select("doc_id", "text", "source").unionByName(long.withColumn("source", F.lit("s1")))
+    for c in ("_th", "_d", "_t", "_nw", "_slot", "_at", "mix_index", "_file", "_row", "score", "_text", "n_words", "kept"):
+        d = d.withColumn(c, F.lit(c))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, d.where("false"), str(tmp_path)).count() == 0
+        out = stage(spark, d, str(tmp_path))
+        if name == "token_output":
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in d.collect()}
+        else:
+            assert out.columns == d.columns
+            out.write.parquet(str(tmp_path / f"stage{k}"))
+            d = spark.read.parquet(str(tmp_path / f"stage{k}"))
+            assert d.where("_th = '_th' and _d = '_d' and _slot = '_slot' and kept = 'kept' and mix_index = 'mix_index'").count() == d.count() > 0
+    assert d.where("doc_id = 1000").count() == 1 and d.where("doc_id = 14").count() == 0
+
+
 def test_sql(spark):
     """The thin queries of operators that SQL can express."""
     import duckdb
