@@ -132,8 +132,12 @@ def pairs_all(spark, d):
     return _both(spark, d, "all", 24)
 
 
-def _components_sql(pairs: str) -> str:
-    return f"s AS (SELECT src, dst FROM {pairs} UNION SELECT dst, src FROM {pairs}), r AS (SELECT vec_id AS item_id, vec_id AS seen FROM embeddings UNION SELECT r.item_id, s.dst FROM r JOIN s ON r.seen = s.src), cc AS (SELECT item_id, min(seen) AS component FROM r GROUP BY item_id) "
+def _components_sql(pairs: str, k: str = "", nodes: str = "SELECT vec_id AS item_id, vec_id AS seen FROM embeddings") -> str:
+    return (
+        f"s{k} AS (SELECT src, dst FROM {pairs} UNION SELECT dst, src FROM {pairs}), "
+        f"r{k} AS ({nodes} UNION SELECT r{k}.item_id, s{k}.dst FROM r{k} JOIN s{k} ON r{k}.seen = s{k}.src), "
+        f"cc{k} AS (SELECT item_id, min(seen) AS component FROM r{k} GROUP BY item_id) "
+    )
 
 
 def _vectors(spark, d):
@@ -234,9 +238,18 @@ def resolve_highest_res(spark, d):
     return _members(spark, d, "keep_highest_res").select("item_id", "component", "kept")
 
 
-@_query()
+_CENTRAL = _ANN.rstrip() + (
+    ", e AS (SELECT m.item_id, component, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM m JOIN embeddings ON vec_id = m.item_id WHERE size > 1), "
+    "x AS (SELECT component, i, avg(v[i]) AS a FROM e, range(1, 65) t(i) GROUP BY component, i), "
+    "centre AS (SELECT component, list(a ORDER BY i) AS u FROM x GROUP BY component), "
+    "near AS (SELECT item_id, round(list_inner_product(v, u), 9) AS sim FROM e JOIN centre USING (component)) "
+    f"SELECT item_id, component, row_number() OVER (PARTITION BY component ORDER BY sim DESC NULLS LAST, {_TIE}) = 1 AS kept FROM m LEFT JOIN near USING (item_id)"
+)
+
+
+@_query(_CENTRAL)
 def resolve_central(spark, d):
-    """Nearest to the cluster's mean vector; sums of doubles in different orders could differ in ties, so no SQL."""
+    """Nearest to the cluster's mean vector, to nine places."""
     return _members(spark, d, "keep_central").select("item_id", "component", "kept")
 
 
@@ -245,6 +258,20 @@ def resolve_weighted(spark, d):
     return _members(spark, d, "weighted_sample").select("item_id", "component", "weight")
 
 
+_APART = ", w AS (SELECT component, count(DISTINCT label) FILTER (boxes > 0) > 1 AS review FROM m GROUP BY component) "
+
+
+@_query(
+    _ANN.rstrip()
+    + _APART
+    + f"SELECT item_id, component, size, review OR row_number() OVER (PARTITION BY component ORDER BY boxes DESC, {_TIE}) = 1 AS kept, review, "
+    + f"'keep_most_annotated' AS strategy, CASE WHEN review THEN '{resolve.REVIEW_NOTE}' ELSE '' END AS note FROM m JOIN w USING (component) WHERE size > 1"
+)
+def cluster_records(spark, d):
+    """The members of each cluster as stage 4 writes them; single labels, so clusters of two labels are for review."""
+    return resolve.cluster_records(_members(spark, d, "keep_most_annotated", False), "keep_most_annotated").drop("weight")
+
+
 @_query(_ANN + "SELECT component FROM m WHERE boxes > 0 GROUP BY component HAVING count(DISTINCT label) > 1")
 def review_clusters(spark, d):
     return resolve.conflicts(_semantic(spark, d), _annotations(spark, d, False))
@@ -312,6 +339,21 @@ def stage_report(spark, d):
     return score.report(_metrics(spark, d))[1]
 
 
+_FULL = (
+    ", t AS (SELECT min_by(items_in, stage) AS initial_images, max_by(items_in - items_removed, stage) AS final_images FROM m) "
+    "SELECT stage, items_in, items_removed, items_in - items_removed AS items_out, round(items_removed / initial_images, 4) AS fraction_of_initial, "
+    "CASE stage WHEN 1 THEN 'exact (SHA-256)' ELSE 'near-duplicate (perceptual)' END AS label, stage / 2 AS seconds, 100.0::DOUBLE AS peak_mem_mb, "
+    "initial_images, final_images, initial_images - final_images AS removed, round((initial_images - final_images) / initial_images, 4) AS reduction_fraction, "
+    "'flat' AS index_type, NULL::VARCHAR AS leakage FROM m, t"
+)
+
+
+@_query(_METRICS.rstrip() + _FULL)
+def report_full(spark, d):
+    extra = {"seconds": F.col("stage") / 2, "peak_mem_mb": F.lit(100.0), "extra": F.create_map(F.lit("index_type"), F.lit("flat"))}
+    return score.report_full(_metrics(spark, d).withColumns(extra)).drop("extra")
+
+
 # planted pairs: every removed exact copy (tier exact) and every eleventh document with its successor (tier near, never caught)
 _PLANT = _KEYS + ", pl AS (SELECT item_id AS file, kept AS original, 'exact' AS type FROM k JOIN g USING (key) WHERE item_id <> kept UNION ALL SELECT item_id, item_id + 1, 'near' FROM k WHERE item_id % 11 = 0), c AS (SELECT pl.*, (SELECT a.key = b.key FROM k a, k b WHERE a.item_id = file AND b.item_id = original) AS hit FROM pl) "
 
@@ -336,7 +378,45 @@ def plant_precision(spark, d):
     return score.precision(planted, removed)
 
 
-@_query()
+_SUMMARY = (
+    ", x AS (SELECT DISTINCT item_id AS name FROM k JOIN g USING (key) WHERE item_id <> kept AND item_id % 3 <> 0 UNION SELECT DISTINCT kept FROM g WHERE kept % 13 = 0), "
+    "f AS (SELECT name FROM x WHERE name NOT IN (SELECT file FROM pl UNION SELECT original FROM pl)), "
+    "lost AS (SELECT file FROM c WHERE hit IS NOT TRUE ORDER BY file::VARCHAR LIMIT 10), few AS (SELECT name FROM f ORDER BY name::VARCHAR LIMIT 10) "
+    "SELECT (SELECT count(*) FROM c) AS planted_total, (SELECT count(*) FILTER (hit) FROM c) AS caught, (SELECT round(count(*) FILTER (hit) / count(*), 4) FROM c) AS recall, "
+    "(SELECT count(*) FILTER (hit AND type = 'exact') FROM c) AS caught_on_expected_stage, (SELECT count(*) FROM x) AS removed_total, "
+    "(SELECT count(*) FROM x) - (SELECT count(*) FROM f) AS true_positive_removals, (SELECT count(*) FROM f) AS false_positive_removals, "
+    "round(1 - (SELECT count(*) FROM f) / (SELECT count(*) FROM x), 4) AS precision, "
+    "(SELECT coalesce(string_agg(name::VARCHAR, ',' ORDER BY name::VARCHAR), '') FROM few) AS false_positive_examples, "
+    "(SELECT coalesce(string_agg(file::VARCHAR, ',' ORDER BY file::VARCHAR), '') FROM lost) AS missed_examples"
+)
+
+
+@_query(_PLANT.rstrip() + _SUMMARY)
+def score_summary(spark, d):
+    """Two thirds of the copies are removed, and every keeper whose id is divisible by 13."""
+    planted, members, removed = _plant(spark, d)
+    wrong = exact.exact_keepers(_keyed(spark, d)).where("kept % 13 = 0").select(F.col("kept").alias("name"))
+    return score.score_summary(planted, members, removed.where("name % 3 <> 0").union(wrong))
+
+
+_ANY = " OR ".join(f"bit_count(xor(a.h{k}, b.h{k})) + bit_count(xor(a.l{k}, b.l{k})) <= {BITS}" for k in (1, 2))
+_CASCADE = (
+    _CODES
+    + "i AS (SELECT vec_id AS item_id, CASE WHEN vec_id % 20 = 19 THEN vec_id - 1 ELSE vec_id END AS content FROM embeddings), "
+    + "one AS (SELECT min(item_id) AS item_id FROM i GROUP BY content), c1 AS (SELECT c.* FROM c JOIN one ON item_id = vec_id), "
+    + f"p2 AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM c1 a JOIN c1 b ON a.vec_id < b.vec_id AND ({_ANY})), "
+    + _components_sql("p2", "2", "SELECT item_id, item_id AS seen FROM one").rstrip()
+    + ", e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings JOIN cc2 ON vec_id = item_id WHERE item_id = component), "
+    + "n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM e), "
+    + "k AS (SELECT a.vec_id AS q, b.vec_id AS v, list_inner_product(a.e, b.e) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.e, b.e) DESC, b.vec_id) AS place FROM n a, n b), "
+    + f"p3 AS (SELECT least(q, v) AS src, greatest(q, v) AS dst FROM k WHERE q <> v AND place <= 100 AND sim >= {COSINE}), pp AS (SELECT * FROM p2 UNION SELECT * FROM p3), "
+    + _components_sql("pp", "4", "SELECT item_id, item_id AS seen FROM one").rstrip()
+    + f", m AS (SELECT item_id, row_number() OVER (PARTITION BY component ORDER BY item_id % 7 DESC, label % 3 DESC, {_TIE}) = 1 AS kept FROM cc4 JOIN embeddings ON vec_id = item_id) "
+    + "SELECT i.item_id, CASE WHEN m.item_id IS NULL THEN 1 WHEN NOT kept THEN 4 END AS removed_stage FROM i LEFT JOIN m ON m.item_id = i.item_id"
+)
+
+
+@_query(_CASCADE)
 def cascade(spark, d):
     """All four stages over the vectors; every twentieth item is a byte copy of the one before it."""
     v = _vectors(spark, d)

@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karst.functions.codes import hamming
@@ -230,8 +230,10 @@ def pairs_on_all(codes: DataFrame, algos: list[str], t: int, bits: int = 64) ->
 
 
 def combine(pair_sets: list[DataFrame], mode: str) -> DataFrame:
-    """Pairs of any, or of all, of one or more sets."""
+    """Pairs of any, or of all, of the sets; of no sets, none."""
     if mode not in ("any", "all"):
         raise ValueError(f"unknown combine mode {mode!r}")
+    if not pair_sets:
+        return SparkSession.active().createDataFrame([], "src long, dst long")
     sets = [p.select("src", "dst") for p in pair_sets]
     return reduce(DataFrame.union, sets).distinct() if mode == "any" else reduce(DataFrame.intersect, sets)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from karst.functions.codes import dot, tie_key
 
 STRATEGIES = ("keep_most_annotated", "keep_highest_res", "keep_central", "weighted_sample")
+WEIGHTED_NOTE = "kept all; per-image weight 1/cluster_size"
+REVIEW_NOTE = "conflicting class annotations \u2014 kept all, flagged for review"
 
 
 def conflicts(clusters: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -19,7 +21,8 @@ def conflicts(clusters: DataFrame, annotations: DataFrame) -> DataFrame:
 
 def resolve(clusters: DataFrame, annotations: DataFrame, strategy: str, embeddings: DataFrame | None = None) -> DataFrame:
     """item_id, component, size, kept, review, weight for every member. annotations: item_id, num_boxes, num_classes, area,
-    class_ids; embeddings: item_id, embedding (keep_central falls back on keep_most_annotated where a member has none)."""
+    class_ids; embeddings: item_id, embedding (keep_central falls back on keep_most_annotated where a member has none;
+    similarities to the mean vector that are equal in nine places are ties)."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown keep strategy {strategy!r}")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
@@ -36,7 +39,7 @@ def resolve(clusters: DataFrame, annotations: DataFrame, strategy: str, embeddin
         e = m.where("size > 1").join(embeddings.select("item_id", "embedding"), "item_id")
         mean = e.select("component", F.posexplode("embedding").alias("pos", "x")).groupBy("component", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
         mean = mean.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centre"))
-        near = e.join(mean, "component").select("item_id", dot(F.col("embedding"), F.col("centre")).alias("near"))
+        near = e.join(mean, "component").select("item_id", F.round(dot(F.col("embedding"), F.col("centre")), 9).alias("near"))
         whole = m.where("size > 1").join(near, "item_id", "left").groupBy("component").agg((F.count("near") == F.count("*")).alias("whole"))
         m = m.join(near, "item_id", "left").join(whole, "component", "left")
         order = [F.desc(F.when(F.col("whole"), F.col("near"))), F.when(F.col("whole"), tie).asc(), *order]
@@ -46,6 +49,13 @@ def resolve(clusters: DataFrame, annotations: DataFrame, strategy: str, embeddin
     return m.select("item_id", "component", "size", (F.col("first") | review).alias("kept"), review.alias("review"), F.lit(None).cast("double").alias("weight"))
 
 
+def cluster_records(members: DataFrame, strategy: str) -> DataFrame:
+    """One row per member of each cluster of more than one: item_id, component, size, kept, review, weight, strategy, note. Members
+    stay rows of their own, so a cluster of any size fits. members: resolve()'s."""
+    note = F.lit(WEIGHTED_NOTE if strategy == "weighted_sample" else "")
+    return members.where("size > 1").withColumns({"strategy": F.lit(strategy), "note": F.when(F.col("review"), F.lit(REVIEW_NOTE)).otherwise(note)})
+
+
 def every_kth(items: DataFrame, k: int, partition: str, order: list) -> DataFrame:
     """Rows 0, k, 2k, ... of each partition in the given order; rows without a partition pass; k <= 1 keeps all."""
     if k <= 1:

@@ -184,3 +184,21 @@ def test_query(spark, name):
         res = con.execute(catalog.oracle_sql()[name])
         names = [x[0] for x in res.description]
         assert got == sorted(tuple(str(r[names.index(c)]) for c in cols) for r in res.fetchall())
+
+
+def test_combine_of_no_sets(spark):
+    assert hamming.combine([], "any").count() == 0
+    with pytest.raises(ValueError):
+        hamming.combine([], "some")
+
+
+def test_summary_of_a_score(spark):
+    planted = spark.createDataFrame([("p", "o", "exact", 1), ("q", "o", "near", 2), ("s", "o", "near", 2)], "file string, original string, type string, expected_stage int")
+    members = spark.createDataFrame([(1, "g", x) for x in "poq"], "stage int, group string, name string")
+    removed = spark.createDataFrame([("p",), ("z",), ("y",), ("z",)], "name string")
+    r = score.score_summary(planted, members, removed).first()
+    assert (r.planted_total, r.caught, r.recall, r.caught_on_expected_stage) == (3, 2, 0.6667, 1)
+    assert (r.removed_total, r.true_positive_removals, r.false_positive_removals, r.precision) == (3, 1, 2, 0.3333)
+    assert (r.false_positive_examples, r.missed_examples) == ("y,z", "s")
+    assert [(x.tier, x.file) for x in score.missed_by_tier(planted, members).collect()] == [("near", "s")]
+    assert score.score_summary(planted, members, removed.where("false")).first().precision == 1.0
