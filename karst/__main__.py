@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 
 from karst.plans.config import load
 
@@ -26,7 +27,9 @@ def arguments() -> argparse.ArgumentParser:
         s.add_argument(f"--{tier}", type=int, default=10)
     s.add_argument("--source")
     s.add_argument("--out", default="data/planted")
-    sub.add_parser("score").add_argument("--manifest", default="data/planted/plant_manifest.json")
+    s = sub.add_parser("score")
+    s.add_argument("--manifest", default="data/planted/plant_manifest.json")
+    s.add_argument("--removed-scope", choices=("all", "stage4"), default="all")
     sub.add_parser("train-twice").add_argument("--max-images", type=int, default=200)
     s = sub.add_parser("make-leakage-demo")
     s.add_argument("--val-frac", type=float, default=0.25)
@@ -39,6 +42,8 @@ def arguments() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark=None) -> None:
     a = arguments().parse_args(argv)
     cfg = load(a.config, a.set)
+    logging.basicConfig(format="%(asctime)s %(levelname)s %(name)s: %(message)s")
+    logging.getLogger("karst").setLevel(cfg.log_level.upper())
     if a.command == "show-config":
         print(json.dumps(cfg.to_dict(), indent=2))
         return
@@ -54,7 +59,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
     elif a.command == "report":
         tables = folder.report(spark, cfg)
     elif a.command == "score":
-        tables = folder.score_run(spark, cfg, a.manifest)
+        tables = folder.score_run(spark, cfg, a.manifest, a.removed_scope)
     elif a.command == "train-twice":
         tables = (folder.train_twice(spark, cfg, a.max_images),)
     elif a.command in ("run", "run-all"):

@@ -121,7 +121,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 42) -> np.ndarra
     k = max(1, min(k, len(x)))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        at = np.argmin((c * c).sum(1) - 2 * x @ c.T, axis=1)
+        at = np.concatenate([np.argmin((c * c).sum(1) - 2 * x[i : i + BLOCK] @ c.T, axis=1) for i in range(0, len(x), BLOCK)])
         total, n = np.zeros_like(c), np.bincount(at, minlength=k)
         np.add.at(total, at, x)
         c[n > 0] = total[n > 0] / n[n > 0, None]
@@ -141,11 +141,19 @@ def auto_nlist(n: int) -> int:
     return max(1, min(65536, int(4 * math.sqrt(n))))
 
 
-def ivf_knn(vectors: DataFrame, k: int, nlist: int, nprobe: int, least: float | None = None) -> DataFrame:
+def _parts(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """cell, name: the rows of each cell as lists of about BLOCK or fewer, by the counted rows of that very cell, so a cell that
+    holds a third of all vectors is many lists. A row per cell is broadcast: there are nlist of them."""
+    parts = df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    salted = df.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    return salted.groupBy("cell", "part").agg(F.collect_list(F.struct("vec_id", *columns)).alias(name)).drop("part")
+
+
+def ivf_knn(vectors: DataFrame, k: int, nlist: int, nprobe: int, least: float | None = None, seed: int = 42) -> DataFrame:
     """k best among the vectors of the nprobe cells nearest to each query."""
     n = vectors.count()
     nlist = max(1, min(nlist, n))
-    centres = vectors.sparkSession.sparkContext.broadcast(kmeans(sample(vectors, max(50_000, 40 * nlist)), nlist))
+    centres = vectors.sparkSession.sparkContext.broadcast(kmeans(sample(vectors, max(50_000, 40 * nlist), seed), nlist, seed=seed))
 
     def cells(m: int):
         def run(batches):
@@ -159,23 +167,18 @@ def ivf_knn(vectors: DataFrame, k: int, nlist: int, nprobe: int, least: float |
 
         return vectors.where("embedding is not null").select("vec_id", "embedding").mapInArrow(run, "cell int, vec_id long, embedding array<float>")
 
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        """Rows of a cell in parts of bounded size."""
-        salted = df.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // (nlist * BLOCK) + 1))))
-        return salted.groupBy("cell", "part").agg(F.collect_list(F.struct("vec_id", "embedding")).alias(name)).drop("part")
-
     def run(batches):
         for rb in batches:
             for l, r in zip(rb.column("l"), rb.column("r"), strict=True):
                 l, r = l.values, r.values
                 yield _best(l.field("vec_id").to_numpy(), r.field("vec_id").to_numpy(), matrix(l.field("embedding")) @ matrix(r.field("embedding")).T, k, least)
 
-    pairs = packed(cells(min(nprobe, nlist)), "l").join(packed(cells(1), "r"), "cell")
+    pairs = _parts(cells(min(nprobe, nlist)), "l", "embedding").join(_parts(cells(1), "r", "embedding"), "cell")
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "v")
     return pairs.select("l", "r").mapInArrow(run, KIND).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def pq_knn(vectors: DataFrame, k: int, nlist: int, nprobe: int, m: int, nbits: int = 8, rerank: bool = True, rerank_k: int = 100) -> DataFrame:
+def pq_knn(vectors: DataFrame, k: int, nlist: int, nprobe: int, m: int, nbits: int = 8, rerank: bool = True, rerank_k: int = 100, seed: int = 42) -> DataFrame:
     """Shortlist by product-quantised distances inside the probed cells, then exact similarities of the shortlist."""
     first = vectors.where("embedding is not null").select(F.size("embedding")).first()
     dim = first[0] if first else m
@@ -183,9 +186,9 @@ def pq_knn(vectors: DataFrame, k: int, nlist: int, nprobe: int, m: int, nbits: i
         raise ValueError(f"dim {dim} is not divisible by m {m}")
     n = vectors.count()
     nlist = max(1, min(nlist, n))
-    some = sample(vectors, max(50_000, 40 * nlist))
-    coarse = kmeans(some, nlist)
-    books = [kmeans(some[:, i * (dim // m) : (i + 1) * (dim // m)], 1 << nbits) for i in range(m)]
+    some = sample(vectors, max(50_000, 40 * nlist), seed)
+    coarse = kmeans(some, nlist, seed=seed)
+    books = [kmeans(some[:, i * (dim // m) : (i + 1) * (dim // m)], 1 << nbits, seed=seed) for i in range(m)]
     shared = vectors.sparkSession.sparkContext.broadcast((coarse, books))
     d = dim // m
 
@@ -218,9 +221,7 @@ def pq_knn(vectors: DataFrame, k: int, nlist: int, nprobe: int, m: int, nbits: i
                 yield _best(l.field("vec_id").to_numpy(), r.field("vec_id").to_numpy(), sim, short, None)
 
     v = vectors.where("embedding is not null").select("vec_id", "embedding")
-    parts = max(1, n // (nlist * BLOCK) + 1)
-    pack = lambda df, name, *c: df.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).groupBy("cell", "part").agg(F.collect_list(F.struct("vec_id", *c)).alias(name)).drop("part")
-    pairs = pack(v.mapInArrow(probe, "cell int, vec_id long, embedding array<float>"), "l", "embedding").join(pack(v.mapInArrow(encode, "cell int, vec_id long, code binary"), "r", "code"), "cell")
+    pairs = _parts(v.mapInArrow(probe, "cell int, vec_id long, embedding array<float>"), "l", "embedding").join(_parts(v.mapInArrow(encode, "cell int, vec_id long, code binary"), "r", "code"), "cell")
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "v")
     got = pairs.select("l", "r").mapInArrow(run, KIND).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= short)
     if not rerank:
@@ -246,8 +247,8 @@ def select_index(n: int, dim: int, index_type: str = "auto", ram_budget_gb: floa
     return "flat" if n < FLAT_MOST and fits else "ivfflat" if n < IVF_MOST and fits else "ivfpq"
 
 
-def search(vectors: DataFrame, k: int, index: str, nlist: int = 0, nprobe: int = 16, m: int = 8, nbits: int = 8, rerank_k: int = 100, least: float | None = None) -> DataFrame:
+def search(vectors: DataFrame, k: int, index: str, nlist: int = 0, nprobe: int = 16, m: int = 8, nbits: int = 8, rerank_k: int = 100, least: float | None = None, rerank: bool = True, seed: int = 42) -> DataFrame:
     if index == "flat":
         return flat_knn(vectors, k, least)
     nlist = nlist or auto_nlist(vectors.count())
-    return ivf_knn(vectors, k, nlist, nprobe, least) if index == "ivfflat" else pq_knn(vectors, k, nlist, nprobe, m, nbits, True, rerank_k)
+    return ivf_knn(vectors, k, nlist, nprobe, least, seed) if index == "ivfflat" else pq_knn(vectors, k, nlist, nprobe, m, nbits, rerank, rerank_k, seed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import dataclass, field
 
@@ -14,6 +15,9 @@ from karst.plans.config import Config
 from karst.sources.shared import cut
 
 
+log = logging.getLogger("karst")
+
+
 @dataclass
 class StageResult:
     stage: int
@@ -27,7 +31,17 @@ def _result(stage: int, items: DataFrame, survivors: DataFrame, edges=None, bega
     survivors = cut(survivors, f"stage{stage}")
     n, m = items.count(), survivors.count()
     removed = items.select("item_id").join(survivors, "item_id", "left_anti")
-    return StageResult(stage, survivors, removed, edges, {"stage": stage, "items_in": n, "items_removed": n - m, "items_out": m, "seconds": round(time.time() - began, 3), **extra})
+    if n and n == m:
+        log.warning("stage %d removed none of %d items", stage, n)
+    metrics = {"stage": stage, "items_in": n, "items_removed": n - m, "items_out": m, "seconds": round(time.time() - began, 3), "peak_mem_mb": peak_mb(items.sparkSession), **extra}
+    log.info("stage %d: %s", stage, metrics)
+    return StageResult(stage, survivors, removed, edges, metrics)
+
+
+def peak_mb(spark) -> float:
+    """The most memory that the driver's JVM has used so far, over its pools."""
+    pools = spark._jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans()
+    return round(sum(p.getPeakUsage().getUsed() for p in pools) / 2**20, 1)
 
 
 def stage1(items: DataFrame, cfg: Config) -> StageResult:
@@ -50,7 +64,9 @@ def stage2(items: DataFrame, codes: DataFrame, cfg: Config) -> StageResult:
     if not c.enabled:
         return _result(2, items, items, began=began)
     codes = codes.join(items, "item_id", "left_semi")
-    name = hamming.choose_strategy(c.search_strategy, items.count())
+    n = items.count()
+    name = hamming.choose_strategy(c.search_strategy, n)
+    log.info("stage 2: %s search (configured: %s) over %d items", name, c.search_strategy, n)
     if c.combine == "all" and name == "multiindex":
         found = hamming.pairs_on_all(codes, c.hashes, c.hamming_threshold)
     else:
@@ -68,8 +84,9 @@ def stage3(items: DataFrame, embeddings: DataFrame, cfg: Config) -> StageResult:
     n = v.count()
     first = v.select(F.size("embedding")).first()
     index = vectors.select_index(n, first[0] if first else 1, c.index_type, c.ram_budget_gb)
+    log.info("stage 3: %s index (configured: %s) over %d vectors", index, c.index_type, n)
     nlist = c.nlist if c.index_type != "auto" else vectors.auto_nlist(n)
-    knn = vectors.search(v, max(1, min(n, 100)), index, nlist, c.nprobe, c.pq_m, c.pq_nbits, c.rerank_k, c.cosine_threshold)
+    knn = vectors.search(v, max(1, min(n, 100)), index, nlist, c.nprobe, c.pq_m, c.pq_nbits, c.rerank_k, c.cosine_threshold, c.rerank, cfg.seed)
     edges = cut(vectors.flagged_pairs(knn, c.cosine_threshold), "stage3-edges")
     return _result(3, items, _keep_least(items, edges), edges, began, index_type=index, n_flagged_pairs=edges.count())
 
@@ -82,7 +99,11 @@ def stage4(items: DataFrame, edges: DataFrame, annotations: DataFrame, cfg: Conf
         return r, items.select("item_id", F.col("item_id").alias("component"), F.lit(1).alias("size"), F.lit(True).alias("kept"), F.lit(False).alias("review"), F.lit(None).cast("double").alias("weight"))
     clusters = cut(with_singletons(items, edges), "stage4-clusters")
     members = cut(resolve.resolve(clusters, annotations, cfg.stage4.keep_strategy, embeddings), "stage4-members")
-    return _result(4, clusters.select("item_id"), members.where("kept").select("item_id"), edges, began, keep_strategy=cfg.stage4.keep_strategy), members
+    n = members.agg(F.countDistinct("component").alias("n"), F.count_distinct(F.when(F.col("size") > 1, F.col("component"))).alias("big"), F.count_distinct(F.when(F.col("review"), F.col("component"))).alias("review")).first()
+    if n.review:
+        log.warning("stage 4: %d clusters with conflicting annotations are kept whole, for review", n.review)
+    extra = {"keep_strategy": cfg.stage4.keep_strategy, "n_clusters": n.n, "n_nontrivial_clusters": n.big, "n_review_flagged": n.review}
+    return _result(4, clusters.select("item_id"), members.where("kept").select("item_id"), edges, began, **extra), members
 
 
 def run(items: DataFrame, codes: DataFrame, embeddings: DataFrame, annotations: DataFrame, cfg: Config) -> tuple[list[StageResult], DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from karst.functions.codes import basename, infer_split
 from karst.functions.perceptual import hash_images
-from karst.operators import exact, leakage, score
+from karst.operators import exact, leakage, resolve, score
 from karst.operators.components import connected_components
 from karst.plans import cascade
 from karst.plans.config import Config
@@ -43,19 +45,21 @@ def one_form(path) -> F.Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
-def embed(images: DataFrame, backbone: str) -> DataFrame:
-    """path, embedding of the image source's rows."""
+def embed(images: DataFrame, backbone: str, fp16: bool = False) -> DataFrame:
+    """path, embedding of the image source's rows, of unit length; with fp16, of half precision."""
     if backbone not in BACKBONES:
         raise NotImplementedError(f"backbone {backbone!r} is not here; known: {sorted(BACKBONES)}, or give a table of embeddings")
     f = BACKBONES[backbone]
 
     def run(batches):
         for rb in batches:
-            out = []
+            out = []  # path, vector
             for r in rb.column("image").to_pylist():
                 if r and r["height"] > 0 and r["data"]:
                     x = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])
-                    out.append((r["origin"], f(np.repeat(x, 3, 2) if r["nChannels"] == 1 else x[..., :3]).astype(np.float32)))
+                    v = f(np.repeat(x, 3, 2) if r["nChannels"] == 1 else x[..., :3]).astype(np.float64)
+                    v /= np.linalg.norm(v) or 1.0
+                    out.append((r["origin"], v.astype(np.float16 if fp16 else np.float32).astype(np.float32)))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([v for _, v in out], pa.list_(pa.float32()))], ["path", "embedding"])
 
     return images.select("image").mapInArrow(run, "path string, embedding array<float>").withColumn("path", one_form("path"))
@@ -102,9 +106,47 @@ def by_id(df: DataFrame, path: str, ids: DataFrame) -> DataFrame:
     return df.withColumn("path", one_form(path)).drop(*({"item_id"} & set(df.columns))).join(ids, "path")
 
 
-def pairs(spark: SparkSession, cfg: Config) -> DataFrame:
-    """src, dst (paths): the pairs of stages 2 and 3, as written."""
-    return needed(spark, cfg, "stage2/pairs").unionByName(needed(spark, cfg, "stage3/pairs"))
+def pairs(spark: SparkSession, cfg: Config, stages: tuple = (2, 3)) -> DataFrame:
+    """src, dst (paths): the pairs of the stages, as written; none of a stage that has not run."""
+    found = [p for k in stages if (p := stored(spark, cfg, f"stage{k}/pairs")) is not None]
+    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], "src string, dst string"))
+
+
+def before(spark: SparkSession, cfg: Config, stage: int, ids: DataFrame) -> DataFrame:
+    """item_id: what the latest stage before has kept (resolution: what stage 1 has, since it takes up the pairs of stages 2 and
+    3 itself); all images where none has run."""
+    found = (stored(spark, cfg, f"stage{k}/survivors") for k in ((1,) if stage == 4 else range(stage - 1, 0, -1)))
+    kept = next((s for s in found if s is not None), None)
+    return ids.select("item_id") if kept is None else kept.join(ids, "path").select("item_id")
+
+
+def embeddings_of(spark: SparkSession, cfg: Config) -> DataFrame:
+    """path, embedding, kept under stage3/embeddings: images that are there are not embedded again. A table of another backbone
+    or precision is in a folder of its own."""
+    c = cfg.stage3
+    name = f"stage3/embeddings-{c.backbone}-{'fp16' if c.fp16_embeddings else 'fp32'}"
+    there = stored(spark, cfg, name)
+    images = decode_images(spark, cfg.io.image_root)
+    if there is not None:
+        images = images.withColumn("path", one_form("image.origin")).join(there.select("path"), "path", "left_anti")
+    embed(images, c.backbone, c.fp16_embeddings).write.mode("append").parquet(f"{cfg.io.output_dir}/{name}")
+    return needed(spark, cfg, name)
+
+
+def annotations_by_id(spark: SparkSession, cfg: Config, ids: DataFrame) -> DataFrame:
+    """The columns of EMPTY and partition_key, of the images that the annotation file names."""
+    if not cfg.io.annotations:
+        return spark.createDataFrame([], EMPTY + ", partition_key string")
+    named = annotate_items(ids.select(F.col("path").alias("item_id")), read_annotations(spark, cfg.io.annotation_format, cfg.io.annotations)).where("image_id is not null")
+    return by_id(named, "item_id", ids).select("item_id", "num_boxes", "num_classes", "area", "class_ids", "partition_key")
+
+
+def partitions(paths: DataFrame, ann: DataFrame, cfg: Config) -> DataFrame:
+    """path, item_id, partition_key of rows of path, item_id: the annotation's, or with stage4.partition_key "folder" the folder
+    that holds the file."""
+    if cfg.stage4.partition_key == "folder":
+        return paths.withColumn("partition_key", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    return paths.join(ann.select("item_id", "partition_key"), "item_id", "left").select("path", "item_id", "partition_key")
 
 
 def edges_by_id(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -124,8 +166,7 @@ def run_stage(spark: SparkSession, cfg: Config, stage: int, embeddings: DataFram
     if stage == 1:
         r = cascade.stage1(digests(spark, root, ids).withColumnRenamed("key", "content"), cfg)
     else:
-        before = {2: 1, 3: 2, 4: 1}[stage]  # resolution takes up the pairs of stages 2 and 3 over what stage 1 kept
-        items = cut(needed(spark, cfg, f"stage{before}/survivors").join(ids, "path").select("item_id"), "items")
+        items = cut(before(spark, cfg, stage, ids), "items")
         if stage == 2:
             codes = None
             if cfg.stage2.enabled:
@@ -134,42 +175,69 @@ def run_stage(spark: SparkSession, cfg: Config, stage: int, embeddings: DataFram
         else:
             vecs = None
             if cfg.stage3.enabled and (stage == 3 or cfg.stage4.keep_strategy == "keep_central"):
-                vecs = cut(by_id(embed(decode_images(spark, root), cfg.stage3.backbone) if embeddings is None else embeddings, "path", ids).select("item_id", "embedding"), "vectors")
+                vecs = cut(by_id(embeddings_of(spark, cfg) if embeddings is None else embeddings, "path", ids).select("item_id", "embedding"), "vectors")
             if stage == 3:
                 r = cascade.stage3(items, vecs, cfg)
             else:
-                ann = spark.createDataFrame([], EMPTY)
-                if cfg.io.annotations:
-                    named = annotate_items(ids.select(F.col("path").alias("item_id")), read_annotations(spark, cfg.io.annotation_format, cfg.io.annotations)).where("image_id is not null")
-                    ann = by_id(named, "item_id", ids).select("item_id", "num_boxes", "num_classes", "area", "class_ids")
-                r, _ = cascade.stage4(items, edges_by_id(pairs(spark, cfg), ids), ann, cfg, vecs)
+                ann = cut(annotations_by_id(spark, cfg, ids), "annotations")
+                k = cfg.stage4.video_subsample_k
+                if k > 1:  # frames left out here count as removed by this stage
+                    frames = partitions(items.join(ids, "item_id"), ann, cfg)
+                    items = cut(resolve.every_kth(frames, k, "partition_key", [basename(F.col("path")), "path"]).select("item_id"), "frames")
+                edges = edges_by_id(pairs(spark, cfg), ids)
+                if k > 1:
+                    edges = reduce(lambda e, end: e.join(items.select(F.col("item_id").alias(end)), end, "left_semi"), ("src", "dst"), edges)
+                r, members = cascade.stage4(items, edges, ann, cfg, vecs)
+                save_resolved(cfg, members, ids)
     save(cfg, r.survivors.join(ids, "item_id").select("path"), f"stage{stage}/survivors")
     if stage in (2, 3):
         edges = r.edges if r.edges is not None else spark.createDataFrame([], "src long, dst long")
         a, b = (ids.select(F.col("item_id").alias(e), F.col("path").alias(p)) for e, p in (("src", "a"), ("dst", "b")))
         save(cfg, edges.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")), f"stage{stage}/pairs")
-    shape = "stage int, items_in long, items_removed long, items_out long, seconds double"
-    save(cfg, spark.createDataFrame([tuple(r.metrics[c.split()[0]] for c in shape.split(", "))], shape).coalesce(1), f"stage{stage}/metrics")
+    shape = "stage int, items_in long, items_removed long, items_out long, seconds double, peak_mem_mb double"
+    known = [c.split()[0] for c in shape.split(", ")]
+    extra = {k: str(v) for k, v in r.metrics.items() if k not in known}
+    save(cfg, spark.createDataFrame([(*[r.metrics[c] for c in known], extra)], shape + ", extra map<string,string>").coalesce(1), f"stage{stage}/metrics")
     return True
 
 
+def save_resolved(cfg: Config, members: DataFrame, ids: DataFrame) -> None:
+    """Writes stage4/clusters (the members of clusters of more than one), stage4/review (those of them set aside) and, with
+    weights, stage4/weights; a cluster is named by the path of its first member."""
+    named = resolve.cluster_records(members, cfg.stage4.keep_strategy).join(ids, "item_id").join(ids.select(F.col("item_id").alias("component"), F.col("path").alias("cluster")), "component")
+    rows = cut(named.select("cluster", "path", "size", "kept", "review", "weight", "strategy", "note"), "clusters")
+    save(cfg, rows.drop("weight"), "stage4/clusters")
+    save(cfg, rows.where("review").drop("weight"), "stage4/review")
+    save(cfg, rows.where("weight is not null").select("path", "weight"), "stage4/weights")
+
+
 def finish(spark: SparkSession, cfg: Config) -> None:
     """Writes groups, removed, metrics and leakage from what the four stages have written."""
     root = cfg.io.image_root
     ids = number(spark, root)
     keys = cut(digests(spark, root, ids), "digests")
-    groups = keys.join(keys.groupBy("key").count().where("count > 1"), "key").select(F.lit(1).alias("stage"), F.col("key").alias("group"), "item_id")
-    for k in (2, 3):
-        cc = connected_components(cut(edges_by_id(needed(spark, cfg, f"stage{k}/pairs"), ids), f"pairs{k}"))
-        groups = groups.unionByName(cc.select(F.lit(k).alias("stage"), F.col("component").cast("string").alias("group"), F.col("node").alias("item_id")))
-    save(cfg, groups.join(ids, "item_id").select("stage", "group", basename(F.col("path")).alias("name")), "groups")
+    first = keys.groupBy("key").agg(F.min("item_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    groups = keys.join(first, "key").select(F.lit(1).alias("stage"), F.col("key").alias("group"), "item_id", (F.col("item_id") == F.col("least")).alias("kept"), F.lit("sha256").alias("reason"))
+    for k, reason in ((2, f"{'|'.join(cfg.stage2.hashes)}<={cfg.stage2.hamming_threshold}"), (3, f"cosine>={cfg.stage3.cosine_threshold}({cfg.stage3.backbone})")):
+        cc = connected_components(cut(edges_by_id(pairs(spark, cfg, (k,)), ids), f"pairs{k}"))
+        groups = groups.unionByName(cc.select(F.lit(k).alias("stage"), F.col("component").cast("string").alias("group"), F.col("node").alias("item_id"), (F.col("node") == F.col("component")).alias("kept"), F.lit(reason).alias("reason")))
+    save(cfg, groups.join(ids, "item_id").select("stage", "group", "path", basename(F.col("path")).alias("name"), "kept", "reason"), "groups")
     gone = ids.join(needed(spark, cfg, "stage4/survivors"), "path", "left_anti")
     save(cfg, gone.select("path", basename(F.col("path")).alias("name")), "removed")
-    metrics = [needed(spark, cfg, f"stage{k}/metrics") for k in (1, 2, 3, 4)]
-    save(cfg, metrics[0].unionByName(metrics[1]).unionByName(metrics[2]).unionByName(metrics[3]), "metrics")
+    metrics = reduce(DataFrame.unionByName, [needed(spark, cfg, f"stage{k}/metrics") for k in (1, 2, 3, 4)])
     if cfg.leakage.enabled:
-        items = splits(needed(spark, cfg, "stage1/survivors"), cfg)
-        save(cfg, cascade.leakage_report(items.where("split is not null"), pairs(spark, cfg), cfg)[0], "leakage")
+        kept = cut(partitions(needed(spark, cfg, "stage1/survivors").join(ids, "path").select("path", "item_id"), annotations_by_id(spark, cfg, ids), cfg), "kept")
+        items = splits(kept, cfg).where("split is not null")
+        if items.isEmpty():
+            cascade.log.warning("leakage: no path names one of the splits %s", [cfg.leakage.train_split, *cfg.leakage.eval_splits])
+        per, apart = cascade.leakage_report(items, pairs(spark, cfg), cfg)
+        save(cfg, per, "leakage")
+        save(cfg, apart, "leakage_partitions")
+        text = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "leaked_fraction")))))  # a row per evaluation split
+        leaked = needed(spark, cfg, "leakage").agg(text.alias("leaked"))
+        more = F.when(F.col("stage") == 4, F.map_concat("extra", F.create_map(F.lit("leakage"), "leaked"))).otherwise(F.col("extra"))
+        metrics = metrics.crossJoin(F.broadcast(leaked)).withColumn("extra", more).drop("leaked")
+    save(cfg, metrics, "metrics")
 
 
 def run(spark: SparkSession, cfg: Config, embeddings: DataFrame | None = None, force: bool = False) -> None:
@@ -182,7 +250,7 @@ def run(spark: SparkSession, cfg: Config, embeddings: DataFrame | None = None, f
 def splits(paths: DataFrame, cfg: Config) -> DataFrame:
     """item_id (the path), split; the root's own name says nothing about splits."""
     inner = F.regexp_replace("path", "^" + one_form_text(cfg.io.image_root), "")
-    return paths.select(F.col("path").alias("item_id"), infer_split(inner, [cfg.leakage.train_split, *cfg.leakage.eval_splits]).alias("split"))
+    return paths.select(F.col("path").alias("item_id"), *[c for c in paths.columns if c == "partition_key"], infer_split(inner, [cfg.leakage.train_split, *cfg.leakage.eval_splits]).alias("split"))
 
 
 def one_form_text(root: str) -> str:
@@ -207,11 +275,20 @@ def train_twice(spark: SparkSession, cfg: Config, max_images: int | None = 200)
 
 
 def report(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    return score.report(spark.read.parquet(f"{cfg.io.output_dir}/metrics"))
+    """Totals, and all that is known of each stage."""
+    metrics = needed(spark, cfg, "metrics")
+    return score.report(metrics)[0], score.report_full(metrics).select("stage", "label", "items_in", "items_removed", "items_out", "fraction_of_initial", "seconds", "peak_mem_mb", "extra")
 
 
-def score_run(spark: SparkSession, cfg: Config, manifest: str) -> tuple[DataFrame, DataFrame]:
-    """Recall by tier, and precision over all removed files, those of the exact stage included."""
+def score_run(spark: SparkSession, cfg: Config, manifest: str, scope: str = "all") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Recall by tier; precision; the summary of both; the missed files. scope: the removals that precision is over, "all" or
+    "stage4", which leaves out those of the exact stage."""
+    if scope not in ("all", "stage4"):
+        raise ValueError(f"unknown scope {scope!r}")
     p = spark.read.json(manifest, multiLine=True).select(F.explode("planted").alias("p")).select(basename(F.col("p.file")).alias("file"), basename(F.col("p.original")).alias("original"), "p.type", F.col("p.expected_stage").cast("int").alias("expected_stage"))
     out = cfg.io.output_dir
-    return score.recall_by_tier(p, spark.read.parquet(f"{out}/groups")), score.precision(p, spark.read.parquet(f"{out}/removed").select("name"))
+    groups, removed = spark.read.parquet(f"{out}/groups").select("stage", "group", "name"), spark.read.parquet(f"{out}/removed")
+    if scope == "stage4":
+        removed = removed.join(needed(spark, cfg, "stage1/survivors"), "path", "left_semi")
+    removed = removed.select("name")
+    return score.recall_by_tier(p, groups), score.precision(p, removed), score.score_summary(p, groups, removed), score.missed_by_tier(p, groups)

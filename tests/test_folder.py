@@ -34,13 +34,29 @@ def test_plant_run_score(spark, photos, tmp_path, capsys):
     sets = ["--set", f"io.image_root={tmp_path}/a/images", "--set", f"io.output_dir={tmp_path}/run", "--set", "stage3.backbone=thumbnail"]
     main([*sets, "run-all"], spark)
     cfg = config.load(None, sets[1::2])
-    recall, precision = folder.score_run(spark, cfg, f"{tmp_path}/a/plant_manifest.json")
+    recall, precision, summary, missed = folder.score_run(spark, cfg, f"{tmp_path}/a/plant_manifest.json")
     got = {r.tier: r for r in recall.collect()}
     assert (got["exact"].caught, got["exact"].on_time, got["near"].caught) == (2, 2, 2)
     assert precision.first().precision == 1.0
+    s = summary.first()
+    assert s.planted_total == 6 and s.removed_total == precision.first().removed and s.caught + missed.count() == 6
+    within = folder.score_run(spark, cfg, f"{tmp_path}/a/plant_manifest.json", "stage4")[1].first().removed
+    assert within == precision.first().removed - 2  # the exact copies went before
+    m = {r.stage: r for r in spark.read.parquet(f"{tmp_path}/run/metrics").collect()}
+    assert m[2].extra["search_strategy"] == "bruteforce" and m[3].extra["index_type"] == "flat" and int(m[4].extra["n_nontrivial_clusters"]) >= 2 and m[4].peak_mem_mb > 0
+    clusters = spark.read.parquet(f"{tmp_path}/run/stage4/clusters")
+    assert clusters.groupBy("cluster").agg({"kept": "count"}).count() == int(m[4].extra["n_nontrivial_clusters"]) and clusters.where("kept").count() == int(m[4].extra["n_nontrivial_clusters"])
+    g = spark.read.parquet(f"{tmp_path}/run/groups")
+    assert {r.reason for r in g.where("stage = 2").collect()} == {"phash|dhash<=8"} and g.where("kept").count() == g.select("stage", "group").distinct().count()
     assert not folder.run_stage(spark, cfg, 2) and folder.run_stage(spark, cfg, 2, force=True)
+    alone = config.load(None, [*sets[1:4:2], f"io.output_dir={tmp_path}/none"])
+    assert folder.pairs(spark, alone).count() == 0 and folder.run_stage(spark, alone, 2)  # no stage before: over all images
+    assert spark.read.parquet(f"{tmp_path}/none/stage2/metrics").first().items_in == 14
     with pytest.raises(FileNotFoundError):
-        folder.run_stage(spark, config.load(None, [*sets[1:4:2], f"io.output_dir={tmp_path}/none"]), 2)
+        folder.finish(spark, alone)
+    table = f"{tmp_path}/run/stage3/embeddings-thumbnail-fp16"
+    n = spark.read.parquet(table).count()
+    assert folder.run_stage(spark, cfg, 3, force=True) and spark.read.parquet(table).count() == n  # none is embedded again
     main([*sets, "run", "--stage", "4", "--force"], spark)
     for command in (["report"], ["profile"], ["score", "--manifest", f"{tmp_path}/a/plant_manifest.json"], ["show-config"]):
         main([*sets, *command], spark)
