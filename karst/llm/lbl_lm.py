@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from karst.llm.arrowtext import SLICE, HashTable, Texts, U, batch, mix, release, slices
 from karst.sources.shared import cut, free_shuffles, spread, text_hash
 
-HEAD = 384
+HEAD = 1024
 CLASSES = 128
 KNOWN = 200_000
 DIM = 24
@@ -214,23 +214,27 @@ def train(docs: DataFrame, heads: np.ndarray, noise: np.ndarray, rounds: int = R
     return params
 
 
-def log_probs(sym: np.ndarray, one: np.ndarray, two: np.ndarray, params: dict, step: int = 4096) -> np.ndarray:
-    """Natural log-probability of each symbol after its two predecessors, normalised over all symbols."""
+def log_probs(sym: np.ndarray, one: np.ndarray, two: np.ndarray, params: dict, step: int = 256) -> np.ndarray:
+    """Natural log-probability of each symbol after its two predecessors, normalised over all symbols. `step` contexts at a time
+    stay in a core's cache."""
     n = len(params["b"]) - 1
-    q, b = params["q"][:n], params["b"][:n]
+    q = np.column_stack([params["q"][:n], params["b"][:n]]).T.copy()  # the bias is one more dimension
     pair = one.astype(np.int64) * (n + 1) + two
     distinct, inv = np.unique(pair, return_inverse=True)
     order = np.argsort(inv, kind="stable")
     out = np.empty(len(sym), np.float64)
     edge = np.searchsorted(inv[order], np.arange(0, len(distinct) + step, step))
+    scores, r = np.empty((step, n), np.float32), np.ones((step, len(q)), np.float32)
     for i, a in enumerate(range(0, len(distinct), step)):
         d = distinct[a : a + step]
-        s = (params["r1"][d // (n + 1)] + params["r2"][d % (n + 1)]) @ q.T + b
-        top = s.max(axis=1, keepdims=True)
-        z = top[:, 0] + np.log(np.exp(s - top).sum(axis=1))
+        s = scores[: len(d)]
+        r[: len(d), :-1] = params["r1"][d // (n + 1)] + params["r2"][d % (n + 1)]
+        np.matmul(r[: len(d)], q, out=s)
+        s -= s.max(axis=1, keepdims=True)
         own = order[edge[i] : edge[i + 1]]
         row = inv[own] - a
-        out[own] = s[row, sym[own]] - z[row]
+        out[own] = s[row, sym[own]]
+        out[own] -= np.log(np.exp(s, out=s).sum(axis=1))[row]
     return out
 
 
