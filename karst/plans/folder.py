@@ -181,7 +181,7 @@ def run_stage(spark: SparkSession, cfg: Config, stage: int, embeddings: DataFram
             else:
                 ann = cut(annotations_by_id(spark, cfg, ids), "annotations")
                 k = cfg.stage4.video_subsample_k
-                if k > 1:  # frames left out here count as removed by this stage
+                if k > 1:  # frames left out are among the run's removed, not among this stage's items
                     frames = partitions(items.join(ids, "item_id"), ann, cfg)
                     items = cut(resolve.every_kth(frames, k, "partition_key", [basename(F.col("path")), "path"]).select("item_id"), "frames")
                 edges = edges_by_id(pairs(spark, cfg), ids)

@@ -78,6 +78,7 @@ def test_leakage_demo(spark, photos, tmp_path):
     folder.run(spark, cfg)
     leak = {r.split: r for r in spark.read.parquet(f"{tmp_path}/run/leakage").collect()}
     assert (leak["val"].eval_images, leak["val"].leaked_images) == (5, 3)
+    assert spark.read.parquet(f"{tmp_path}/run/leakage_partitions").count() == 0
     n = folder.train_twice(spark, cfg, None).first()
     rows = spark.read.parquet(f"{tmp_path}/run/train_twice").collect()
     lists = {k: {r.item_id for r in rows if r.role == k} for k in ("raw", "reduced", "test")}
@@ -86,3 +87,6 @@ def test_leakage_demo(spark, photos, tmp_path):
     assert folder.train_twice(spark, cfg, 2).first().n_test == 2
     with pytest.raises(ValueError):
         folder.train_twice(spark, config.load(None, [f"io.image_root={tmp_path}/demo/images", f"io.output_dir={tmp_path}/run", "leakage.train_split=other"]))
+    cfg.stage4.partition_key, cfg.stage4.video_subsample_k = "folder", 2
+    assert folder.run_stage(spark, cfg, 4, force=True)
+    assert spark.read.parquet(f"{tmp_path}/run/stage4/metrics").first().items_in == 3 + 3  # of 6 and of 5 in a folder
