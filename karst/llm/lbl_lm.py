@@ -122,41 +122,58 @@ def contexts(sym: np.ndarray, bound: np.ndarray, start: int) -> tuple[np.ndarray
 
 
 def train_nce(sym, one, two, params: dict, state: dict, noise: np.ndarray, rng, k: int = NOISE, rate: float = 0.1, step: int = 512) -> None:
-    """AdaGrad on binary decisions between the token and k draws of noise; params and state are changed in place."""
-    r1, r2, q, b = params["r1"], params["r2"], params["q"], params["b"]
+    """AdaGrad on binary decisions between the token and k draws of noise; params (r1, r2, and qb: q with b as its last column) and
+    state are changed in place."""
+    r1, r2, qb = params["r1"], params["r2"], params["qb"]
+    dim = r1.shape[1]
+    small = np.int16 if len(r1) < 1 << 15 else np.int32  # 16 bits are sorted by radix
+    sym, one, two = (x.astype(small) for x in (sym, one, two))
     cum = np.cumsum(noise)
     log_kp = np.log(noise * k + 1e-12).astype(np.float32)
-    for a in range(0, len(sym), step):
-        w, x, y = sym[a : a + step], one[a : a + step], two[a : a + step]
-        m = max(len(w) // 4, 8)
-        draw = np.searchsorted(cum, rng.random(m) * cum[-1]).astype(np.int32)  # m draws for the step's tokens together
-        p = r1[x] + r2[y]
-        qw = q[w]
-        s_true = np.einsum("ij,ij->i", p, qw) + b[w] - log_kp[w]
-        s_noise = p @ q[draw].T + b[draw] - log_kp[draw]
-        e_true = 1.0 / (1.0 + np.exp(-np.clip(s_true, -30, 30))) - 1.0
-        e_noise = 1.0 / (1.0 + np.exp(-np.clip(s_noise, -30, 30))) * np.float32(k / m)
-        gp = e_true[:, None] * qw + e_noise @ q[draw]
-        _update(r1, state["r1"], x, gp, rate)
-        _update(r2, state["r2"], y, gp, rate)
-        rows = np.concatenate([w, draw])
-        _update(q, state["q"], rows, np.concatenate([e_true[:, None] * p, e_noise.T @ p]), rate)
-        _update(b[:, None], state["b"], rows, np.concatenate([e_true, e_noise.sum(axis=0)])[:, None], rate)
+    starts = range(0, len(sym), step)
+    sizes = [max(min(step, len(sym) - a) // 4, 8) for a in starts]
+    draws = np.searchsorted(cum, rng.random(sum(sizes)) * cum[-1]).astype(small)
+    p = np.ones((step, dim + 1), np.float32)
+    at = 0
+    with np.errstate(over="ignore"):  # exp of a large score is infinite and its share 0
+        for a, m in zip(starts, sizes, strict=True):
+            w, x, y = sym[a : a + step], one[a : a + step], two[a : a + step]
+            draw = draws[at : at + m]  # m draws for the step's tokens together
+            at += m
+            p = p[: len(w)]
+            np.add(r1.take(x, axis=0), r2.take(y, axis=0), out=p[:, :dim])
+            qw, qd = qb.take(w, axis=0), qb.take(draw, axis=0)
+            e_true = np.einsum("ij,ij->i", p, qw)
+            e_true -= log_kp[w]
+            e_true = (-1.0 / (1.0 + np.exp(e_true)))[:, None]
+            against = -qd
+            against[:, dim] += log_kp[draw]
+            e_noise = p @ against.T
+            np.exp(e_noise, out=e_noise)
+            e_noise += np.float32(1)
+            np.divide(np.float32(k / m), e_noise, out=e_noise)
+            gp = e_noise @ qd[:, :dim]
+            gp += e_true * qw[:, :dim]
+            _update(r1, state["r1"], x, gp, rate)
+            _update(r2, state["r2"], y, gp, rate)
+            _update(qb, state["qb"], np.concatenate([w, draw]), np.concatenate([e_true * p, e_noise.T @ p]), rate)
 
 
 def _update(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
     """An AdaGrad step by the gradients' sums over equal rows."""
     order = np.argsort(rows, kind="stable")
     r = rows[order]
-    at = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    g = np.add.reduceat(grad[order], at, axis=0)
+    first = np.ones(len(r), bool)
+    np.not_equal(r[1:], r[:-1], out=first[1:])
+    at = np.flatnonzero(first)
+    g = np.add.reduceat(grad.take(order, axis=0), at, axis=0)
     r = r[at]
-    seen[r] += g * g
-    table[r] -= rate * g / np.sqrt(seen[r])
-
-
-def new_state(params: dict) -> dict:
-    return {k: np.ones_like(v if v.ndim > 1 else v[:, None]) for k, v in params.items()}
+    s = seen.take(r, axis=0)
+    s += g * g
+    seen[r] = s
+    g *= np.float32(rate)
+    g /= np.sqrt(s, out=s)
+    table[r] -= g
 
 
 def new_params(n: int, noise: np.ndarray, dim: int = DIM, seed: int = 5) -> dict:
@@ -176,8 +193,8 @@ def train(docs: DataFrame, heads: np.ndarray, noise: np.ndarray, rounds: int = R
 
         def run(batches, shared=shared, turn=turn):
             heads, noise, params = shared.value
-            p = {k: v.copy() for k, v in params.items()}
-            state = new_state(p)
+            p = {"r1": params["r1"].copy(), "r2": params["r2"].copy(), "qb": np.column_stack([params["q"], params["b"]])}
+            state = {k: np.ones_like(v) for k, v in p.items()}
             symbols, seen = Symbols(heads), 0
             rng = np.random.Generator(np.random.PCG64(7 + turn))
             for s in slices(batches):
@@ -188,7 +205,7 @@ def train(docs: DataFrame, heads: np.ndarray, noise: np.ndarray, rounds: int = R
                 train_nce(sym[at], one[at], two[at], p, state, noise, rng)
                 seen += len(at)
             if seen:
-                rows = np.concatenate([p["r1"], p["r2"], np.column_stack([p["q"], p["b"]])[:, :-1], np.pad(p["b"][:, None], ((0, 0), (0, DIM - 1)))]).astype("<f4")
+                rows = np.concatenate([p["r1"], p["r2"], p["qb"][:, :DIM], np.pad(p["qb"][:, DIM:], ((0, 0), (0, DIM - 1)))]).astype("<f4")
                 blob = pa.Array.from_buffers(pa.binary(DIM * 4), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
                 yield batch(schema, np.arange(len(rows), dtype=np.int32), np.full(len(rows), float(seen)), blob)
 
@@ -230,11 +247,18 @@ def log_probs(sym: np.ndarray, one: np.ndarray, two: np.ndarray, params: dict, s
         s = scores[: len(d)]
         r[: len(d), :-1] = params["r1"][d // (n + 1)] + params["r2"][d % (n + 1)]
         np.matmul(r[: len(d)], q, out=s)
-        s -= s.max(axis=1, keepdims=True)
         own = order[edge[i] : edge[i + 1]]
         row = inv[own] - a
         out[own] = s[row, sym[own]]
-        out[own] -= np.log(np.exp(s, out=s).sum(axis=1))[row]
+        with np.errstate(over="ignore"):
+            total = np.exp(s, out=s).sum(axis=1)
+        top = 0.0
+        if not (total.min() > 1e-25 and total.max() < 1e35):  # out of range: again from the greatest score down
+            np.matmul(r[: len(d)], q, out=s)
+            top = s.max(axis=1)
+            s -= top[:, None]
+            total = np.exp(s, out=s).sum(axis=1)
+        out[own] -= (np.log(total) + top)[row]
     return out
 
 
