@@ -336,3 +336,82 @@ def test_null_ids_and_repeated_rows(spark):
     bench = spark.createDataFrame([(1, t)], "item_id long, text string")
     for f in (near_groups, dedup_substrings, dedup_windows, score, mix, lambda x: contamination(x, bench)):
         assert f(d).count() == 4
+
+
+def test_quality_svm_against_plain_python():
+    """The fit's ratios and hinge loss by loops over sets: the same ratios, and no weights with a lower loss."""
+    import pyarrow as pa
+
+    from karst.llm.quality_svm import BITS, _unit, dual_coordinate_descent, features, fit, ratios, score_column
+
+    texts = [t or "" for t in TEXTS]
+    y = np.array([0 if t.startswith("###") else 1 for t in texts])
+    f, bound = features(pa.array(texts))
+    sets = [f[i:j].tolist() for i, j in zip(bound[:-1], bound[1:], strict=True)]
+    assert all(s == sorted(set(s)) for s in sets) and sets[0] == sets[1] == []
+    p, q = (collections.Counter(x for s in one for x in s) for one in ([s for s, k in zip(sets, y, strict=True) if k == v] for v in (1, 0)))
+    np_, nq = (1 << BITS) + sum(p.values()), (1 << BITS) + sum(q.values())
+    r = ratios(f, bound, y, BITS)
+    for i in sorted({*p, *q})[::97]:
+        assert r[i] == pytest.approx(math.log((1 + p[i]) / np_) - math.log((1 + q[i]) / nq))
+
+    x = _unit(f, bound, r)
+    w, b = dual_coordinate_descent(f, x, bound, y, BITS, epochs=400)
+    n = len(y)
+
+    def loss(w, b):
+        total = (sum(v * v for v in w.values()) + b * b) / 2
+        for s, i, k in zip(sets, bound, y, strict=False):
+            margin = sum(w.get(g, 0.0) * x[i + j] for j, g in enumerate(s)) + b
+            total += n / (2 * max((y == k).sum(), 1)) * max(0.0, 1 - (1 if k else -1) * margin)
+        return total
+
+    own = {int(g): float(w[g]) for g in np.unique(f)}
+    best, rng = loss(own, b), random.Random(5)
+    assert best < loss({}, 0.0)
+    for size in (1e-1, 1e-2):
+        for _ in range(10):
+            assert loss({g: v + size * rng.gauss(0, 1) * 0.1 for g, v in own.items()}, b + size * rng.gauss(0, 1)) > best - 1e-3
+        assert loss({g: v * (1 + size) for g, v in own.items()}, b) > best - 1e-3 and loss({g: v * (1 - size) for g, v in own.items()}, b) > best - 1e-3
+
+    m = fit(pa.array(texts), y)
+    got = score_column(pa.array(texts), m)
+    for i, s in enumerate(sets):
+        norm = math.sqrt(sum(float(m["r"][g]) ** 2 for g in s))
+        margin = (sum(float(m["w"][g]) for g in s) / norm if norm > 1e-9 else 0.0) + m["b"]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(m["a"] * margin + m["c"]))), rel=1e-4, abs=1e-6)
+
+
+def test_mixing_against_a_loop_over_blocks(docs):
+    """Every row's block, release, deadline and slot from its source's bytes, by a plain earliest-deadline loop over the slots; and no
+    source a whole block off its weight at any slot before one runs out."""
+    from karst.llm.pfair import mix, quantise
+
+    weights, size, d = {None: 2, "s0": 5, "s1": 3, "s2": 1}, 300, 1000
+    share = quantise(weights, d)
+    got = mix(docs, weights, block_bytes=size).collect()
+    by = collections.defaultdict(list)
+    for x in got:
+        assert x.n_bytes == len((TEXTS[x.doc_id] or "").encode())
+        by[x.source].append(x)
+    names = sorted(share, key=lambda s: (s is None, s))
+    blocks = {}
+    for s, of in by.items():
+        at = 0
+        for x in sorted(of, key=lambda x: (x.at, x.n_bytes > 0)):
+            assert (x.at, x.block) == (at, at // size)
+            at += x.n_bytes
+        blocks[s] = -(-at // size)
+    ends = max(x.slot for x in got) + 1
+    taken, slot_of = dict.fromkeys(names, 0), {}
+    for t in range(ends):
+        ready = [s for s in names if taken[s] * d // share[s] <= t]
+        s = min(ready, key=lambda s: (-(-(taken[s] + 1) * d // share[s]), names.index(s)))
+        slot_of[s, taken[s]] = t
+        taken[s] += 1
+        assert all(abs(taken[x] * d - share[x] * (t + 1)) < d for x in names)
+    horizon = min(slot_of.get((s, n), ends) for s, n in blocks.items())
+    for x in got:
+        assert x.slot == slot_of[x.source, x.block]
+        assert (x.release, x.deadline) == (x.block * d // share[x.source], -(-(x.block + 1) * d // share[x.source]))
+        assert x.in_balance == (x.slot < horizon)
